@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .ogg_media import media_columns
 from .packing import pack
@@ -37,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_media_ogg": op2_media_ogg,
     "op4_toxicity": op4_toxicity,
+    "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,

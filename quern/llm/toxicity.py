@@ -27,9 +27,9 @@ LEXICON = 240
 LEAST_DOCUMENTS = 4
 LEAST_SHARE = 0.01
 #: Terms are chosen until each toxic document holds so many; a term must be new to so many of those that lack, at least and as a share.
-COVER = 3
+COVER = 2
 LEAST_NEW = 3
-LEAST_NEW_SHARE = 0.004
+LEAST_NEW_SHARE = 0.01
 LEAST_ODDS = 6.0
 #: Letters of a word's beginning.
 STEMS = (4, 5, 6)
