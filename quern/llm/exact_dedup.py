@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import skew_safe_lookup, write_table
@@ -80,9 +80,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each different text."""
-    index = build_index(docs, id_col, text_col).select(F.col("text_sha256").alias("_q_sha"), F.col("keep_id").alias("_q_keep"))
+    index = build_index(docs, id_col, text_col)
+    own = index.select(_row_key(F.col("text_sha256"), F.col("keep_id")).alias("_q_key"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.withColumn("_q_sha", F.sha2(text, 256)).withColumn("_q_id", F.col(id_col))
-    own = index.select("_q_sha", F.col("_q_keep").alias("_q_id"))
-    stays = kept.join(own, kept["_q_sha"].eqNullSafe(own["_q_sha"]) & kept["_q_id"].eqNullSafe(own["_q_id"]), "left_semi")
-    return stays.dropDuplicates(["_q_sha"]).drop("_q_sha", "_q_id")
+    keyed = docs.withColumn("_q_key", _row_key(F.sha2(text, 256), F.col(id_col)))
+    # the join's key is the repetition's key too: no second shuffle
+    return keyed.join(own, "_q_key", "left_semi").dropDuplicates(["_q_key"]).drop("_q_key")
+
+
+def _row_key(digest: Column, key: Column) -> Column:
+    return F.concat(digest, F.lit(":"), F.coalesce(key.cast("string"), F.lit("")))

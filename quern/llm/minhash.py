@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_safe_lookup, write_table
+from .common import drop_table, skew_safe_lookup, write_table
 from .components import connected_components
 from .url_filter import bloom_words, might_contain
 
@@ -262,9 +262,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
+    for done in (classes, live, first, texts, second):
+        drop_table(done)
     table = groups.join(labels, groups["rep"] == labels["node"], "left").select("print", F.coalesce("comp", "rep").alias("component_id"), "copies")
     total = signed.count()
     found = skew_safe_lookup(signed.where("print is not null").select("print", "doc_id", "n"), table, ["print"], "copies", total)
     found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.where("print is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: the document with the smallest id of each group."""
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_q_gone")).where("_q_gone is not null").distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["_q_gone"], "left_anti")

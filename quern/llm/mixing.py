@@ -146,9 +146,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
-def draw_rows(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as it was drawn, by shard, shuffled within it; columns of docs and then _shard."""
+def draw_rows(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str = "doc_id", by_shard: bool = True) -> DataFrame:
+    """The mixed corpus: the rows of docs, each as often as it was drawn, with their columns and _shard.
+
+    by_shard: rows come by shard, shuffled within it; without it, in no order, for a next step that
+    deals them anew.
+    """
     draws = mix.where(F.size("draws") > 0).select(F.col("doc_id").alias("_q_id"), F.explode("draws").alias("_q_draw")).dropDuplicates()
-    rows = docs.join(draws, F.col(id_col).eqNullSafe(F.col("_q_id")))
-    rows = rows.withColumn("_shard", F.col("_q_draw.shard")).withColumn("_order", F.xxhash64(F.lit(seed), F.col("_q_id"), F.col("_q_draw.pass")))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_q_id", "_q_draw", "_order")
+    rows = docs.join(draws, F.col(id_col).eqNullSafe(F.col("_q_id"))).withColumn("_shard", F.col("_q_draw.shard"))
+    if by_shard:
+        rows = rows.withColumn("_q_order", F.xxhash64(F.lit(seed), F.col("_q_id"), F.col("_q_draw.pass"))).repartition("_shard").sortWithinPartitions("_shard", "_q_order").drop("_q_order")
+    return rows.drop("_q_id", "_q_draw")
