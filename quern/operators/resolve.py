@@ -25,33 +25,36 @@ def before_last_dot(name: Column) -> Column:
     return F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
-def class_index(classes: DataFrame) -> DataFrame:
-    """Key -> class_ord by full and raw name; on a collision the later class wins."""
+def class_keys(classes: DataFrame) -> DataFrame:
+    """kind ("key": full and raw name, "short": last segment), key, class_ord; unaggregated, so that a few names are looked up without shuffling all classes."""
     named = classes.where("full_name is not null")
-    keys = named.select("class_ord", F.explode(F.array_compact(F.array_distinct(F.array("full_name", "raw_name")))).alias("key"))
-    return keys.groupBy("key").agg(F.max("class_ord").alias("class_ord"))
+    own = F.struct(F.lit("key").alias("kind"), F.col("full_name").alias("key"))
+    raw = F.struct(F.lit("key").alias("kind"), F.col("raw_name").alias("key"))
+    short = F.struct(F.lit("short").alias("kind"), last_segment(F.col("full_name")).alias("key"))
+    return named.select("class_ord", F.explode(F.array(own, raw, short)).alias("k")).select("class_ord", "k.kind", "k.key").where("key is not null")
 
 
 def lookup_classes(names: DataFrame, classes: DataFrame, name_col: str = "name") -> DataFrame:
-    """R37 for a batch: name, class_ord; exact keys only."""
-    return names.join(class_index(classes), F.col(name_col) == F.col("key")).select(*names.columns, "class_ord")
+    """R37 for a batch: names with class_ord, by exact full or raw name; on a collision the later class wins."""
+    keys = names.select(F.col(name_col).alias("key")).where("key is not null").distinct()
+    found = class_keys(classes).where("kind = 'key'").join(keys, "key").groupBy("key").agg(F.max("class_ord").alias("class_ord"))
+    return names.join(found, F.col(name_col) == F.col("key")).select(*names.columns, "class_ord")
 
 
 def resolve_classes(names: DataFrame, classes: DataFrame, name_col: str = "name") -> DataFrame:
     """R44 for a batch: the distinct names that resolve, class_ord, rank.
 
-    Rank 0: the exact key; 1: the exact key of what stands before the last dot; 2: the class with
-    the smallest class_ord whose last segment equals the name's.
+    Rank 0: the exact key; 1: the exact key of what stands before the last dot; in both the later
+    class wins; 2: the class with the smallest class_ord whose last segment equals the name's.
     """
-    keys = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct()
-    keys = keys.withColumn("_norm", normalised(F.col("_name"))).withColumn("_owner", before_last_dot(F.col("_norm"))).withColumn("_short", last_segment(F.col("_norm")))
-    index = class_index(classes)
-    short = classes.where("full_name is not null").groupBy(last_segment(F.col("full_name")).alias("_short")).agg(F.min("class_ord").alias("c2"))
-    exact = index.select(F.col("key").alias("_norm"), F.col("class_ord").alias("c0"))
-    owner = index.select(F.col("key").alias("_owner"), F.col("class_ord").alias("c1"))
-    met = keys.join(exact, "_norm", "left").join(owner, "_owner", "left").join(short, "_short", "left")
-    rank = F.when(F.col("c0").isNotNull(), 0).when(F.col("c1").isNotNull(), 1).otherwise(2)
-    return met.select(F.col("_name").alias(name_col), F.coalesce("c0", "c1", "c2").alias("class_ord"), rank.alias("rank")).where("class_ord is not null")
+    keys = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct().withColumn("_norm", normalised(F.col("_name")))
+    way = lambda rank, kind, key: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), key.alias("key"))
+    ways = F.array(way(0, "key", F.col("_norm")), way(1, "key", before_last_dot(F.col("_norm"))), way(2, "short", last_segment(F.col("_norm"))))
+    asked = keys.select("_name", F.explode(ways).alias("w")).select("_name", "w.rank", "w.kind", "w.key").where("key is not null")
+    met = class_keys(classes).join(asked, ["kind", "key"])
+    order = F.struct("rank", F.when(F.col("rank") < 2, -F.col("class_ord")).otherwise(F.col("class_ord")).alias("at"))
+    best = met.groupBy("_name").agg(F.min(order).alias("b"))
+    return best.select(F.col("_name").alias(name_col), F.abs("b.at").alias("class_ord"), "b.rank")
 
 
 def first_method(methods: DataFrame, condition: Column) -> DataFrame:
@@ -86,7 +89,6 @@ def resolve_code(names: DataFrame, classes: DataFrame, methods: DataFrame, name_
     owners = resolve_classes(ways, classes, "_class").select("_class", "class_ord")
     ways = ways.join(owners, "_class")
     members = methods.select("class_ord", "method_ord", F.explode(F.array(F.struct(F.lit(1).alias("branch"), F.col("short_id").alias("_member")), F.struct(F.lit(2).alias("branch"), F.col("name").alias("_member")))).alias("m")).select("class_ord", "method_ord", "m.branch", "m._member")
-    members = members.groupBy("class_ord", "branch", "_member").agg(F.min("method_ord").alias("method_ord"))
     found = ways.join(members, ["class_ord", "branch", "_member"], "left").where("branch = 3 or method_ord is not null")
     best = found.groupBy("_n").agg(F.min(F.struct("branch", "class_ord", "method_ord")).alias("b"))
     return best.select(F.col("_n").alias(name_col), "b.class_ord", "b.method_ord", "b.branch")

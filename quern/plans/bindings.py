@@ -21,6 +21,7 @@ from ..operators import structure as st
 from ..operators import xrefs as xr
 from ..sources.catalog import Catalog, resource_text
 from ..sources.sinks import as_json
+from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -404,6 +405,21 @@ def task_snapshot(spark, d):  # R62
     return read(spark, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("seq"))
 
 
+@bound("mapping_export", "WITH m AS (SELECT CAST(user_id AS VARCHAR) AS k, arg_max(event_type, event_id) AS v FROM events GROUP BY 1) SELECT string_agg(k || '=' || v, ';' ORDER BY k) AS mapping FROM m")
+def mapping_export(spark, d):  # R60
+    entries = F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rn.export_mapping(event_log(spark, d)).select(F.array_join(entries, ";").alias("mapping"))
+
+
+@bound("task_string_search", "SELECT source || '.' || doc_id AS full_name, 'SUCCESS' AS status FROM documents WHERE contains(text, 'License')")
+def task_string_search(spark, d):  # R61-R63: the second task is answered from the cache
+    engine = Engine(Catalog.of(spark, **dict(zip(("classes", "class_text"), doc_classes(spark, d), strict=True))))
+    engine.tasks.wait(engine.search_string("License")["task_id"], 600)
+    done = engine.task_status(engine.search_string("License")["task_id"])
+    engine.tasks.close()
+    return spark.createDataFrame([(n, done["status"]) for n in done["result"]], "full_name string, status string")
+
+
 @bound("json_rows", "SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name})::VARCHAR AS json FROM nation")
 def json_rows(spark, d):  # R14, R15
     return as_json(read(spark, d, "nation").select("n_nationkey", "n_name"))
