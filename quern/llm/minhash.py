@@ -177,52 +177,138 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, f"a {kind}, b {kind}").distinct()
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and pair of blocks, the outsiders before the members they are compared with."""
-    key, ids, comps, sizes, packed, waiting = None, None, None, None, None, []
+class _Forest:
+    """Union-find over whatever is asked for."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, cls, comp) in pairs of blocks: ob, mb, member and those columns.
+
+    Within a key, the members outside its largest component are the outsiders. Each block of
+    outsiders meets each block of all members, so every pair across components meets, and a row is
+    copied once for each opposite block, not for each opposite row.
+    """
+    counts = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    main = main.select(key, "main", F.ceil(F.col("all") / COMPARE_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("all") - F.col("most")) / COMPARE_ROWS).cast("int").alias("out_blocks")).where("out_blocks > 0")
+    met = rows.join(main, key)
+    spread = F.xxhash64("cls")
+    outside = met.where("comp <> main").select(key, F.pmod(spread, F.col("out_blocks")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("mb"), F.lit(False).alias("member"), "cls", "comp")
+    inside = met.select(key, F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("ob"), F.pmod(spread, F.col("all_blocks")).cast("int").alias("mb"), F.lit(True).alias("member"), "cls", "comp")
+    return outside.union(inside)
+
+
+def _near_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket and pair of blocks, the outsiders first. Gives pairs of components that the estimate can't tell apart, a spanning forest for each pair of blocks."""
+    key, comps, sizes, packed, waiting, seen = None, None, None, None, [], _Forest()
     mask = np.uint64(0x5555555555555555)
     for batch in batches:
         cols = batch.columns
         where = list(zip(*(cols[i].to_pylist() for i in range(3)), strict=True))
         member = cols[3].to_numpy(zero_copy_only=False)
-        cls, comp, n = (cols[i].to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+        comp, n = (cols[i].to_numpy(zero_copy_only=False) for i in (5, 6))
         sig = cols[7].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS)
         found = []
         for i, w in enumerate(where):
             if w != key:
-                key, waiting, ids = w, [], None
+                key, waiting, packed, seen = w, [], None, _Forest()
             if not member[i]:
-                waiting.append((cls[i], comp[i], n[i], sig[i].copy()))
+                waiting.append((comp[i], n[i], sig[i].copy()))
                 continue
             if not waiting:
                 continue
-            if ids is None:
-                ids, comps, sizes = (np.array([x[k] for x in waiting]) for k in range(3))
-                packed = np.array([x[3] for x in waiting])
+            if packed is None:
+                comps, sizes = (np.array([x[k] for x in waiting]) for k in range(2))
+                packed = np.array([x[2] for x in waiting])
             x = packed ^ sig[i]
             equal = LANES - np.bitwise_count((x | (x >> np.uint64(1))) & mask).sum(axis=1).astype(np.int64)
             ok = (estimate(equal) >= LEAST_ESTIMATE) & (comps != comp[i]) & (100 * np.minimum(sizes, n[i]) >= PERCENT * np.maximum(sizes, n[i]))
-            found += [(int(min(o, cls[i])), int(max(o, cls[i]))) for o in ids[ok]]
+            found += [(int(c), int(comp[i])) for c in np.unique(comps[ok]) if seen.join(int(c), int(comp[i]))]
         if found:
-            found = sorted(set(found))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
 
-def _across(live: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of live buckets, a < b, of different components and not ruled out by the estimate."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set in left with every set in right, by products of 0-1 matrices over slices of the shared elements."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    use = shared[at]
+    owner, at = owner[use], number[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(at, (start, start + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[i:j], at[i:j] - start] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links_of_blocks(outsiders: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    if not outsiders or not members:
+        return []
+    both = intersections([x[2] for x in outsiders], [x[2] for x in members])
+    n_out, n_in = (np.array([len(x[2]) for x in side]) for side in (outsiders, members))
+    c_out, c_in = (np.array([x[1] for x in side]) for side in (outsiders, members))
+    linked = (100 * both >= PERCENT * (n_out[:, None] + n_in[None, :] - both)) & (c_out[:, None] != c_in[None, :])
+    forest = _Forest()
+    return [(outsiders[i][0], members[j][0]) for i, j in np.argwhere(linked) if forest.join(int(c_out[i]), int(c_in[j]))]
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by family and pair of blocks, the outsiders first. Gives confirmed links across components, a spanning forest for each pair of blocks."""
+    key, outsiders, members = None, [], []
+    found: list[tuple[int, int]] = []
+
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for *where, member, cls, comp, text in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
+            if where != key:
+                found += _links_of_blocks(outsiders, members)
+                key, outsiders, members = where, [], []
+            (members if member else outsiders).append((cls, comp, shingle_set(text.as_py())))
+        if found:
+            yield batch_of(found)
+            found = []
+    if found := _links_of_blocks(outsiders, members):
+        yield batch_of(found)
+
+
+def _across(live: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components whose members share a bucket.
+
+    Components with a pair in one bucket that the estimate can't rule out form a family; families are
+    compared whole on full sets, outsiders with members, in blocks.
+    """
     known = live.where("members > 2").join(labels, live["cls"] == labels["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_ = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = known.join(open_, "key")
-    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = main.withColumn("all_blocks", F.ceil(F.col("all") / COMPARE_ROWS).cast("int")).withColumn("out_blocks", F.ceil((F.col("all") - F.col("most")) / COMPARE_ROWS).cast("int"))
-    rows = rows.join(main, "key")
-    hashed = F.xxhash64("cls")
-    outside = rows.where("comp <> main").select("key", F.pmod(hashed, F.col("out_blocks")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("mb"), F.lit(False).alias("member"), "cls", "comp")
-    inside = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("ob"), F.pmod(hashed, F.col("all_blocks")).cast("int").alias("mb"), F.lit(True).alias("member"), "cls", "comp")
-    signed = outside.union(inside).join(classes.select(F.col("doc_id").alias("cls"), "n", "packed"), "cls").select("key", "ob", "mb", "member", "cls", "comp", "n", "packed")
+    signed = _dealt(known, "key").join(classes.select(F.col("doc_id").alias("cls"), "n", "packed"), "cls").select("key", "ob", "mb", "member", "cls", "comp", "n", "packed")
     signed = signed.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "member")
-    return signed.mapInArrow(_compare, "a long, b long").distinct()
+    near = write_table(signed.mapInArrow(_near_components, "a long, b long").distinct(), "minhash-near")
+    families = connected_components(near).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    rows = live.select("cls").distinct().join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")).join(families, "comp").select("family", "cls", "comp")
+    full = _dealt(rows, "family").join(texts, F.col("cls") == F.col("id")).select("family", "ob", "mb", "member", "cls", "comp", "text")
+    full = full.repartition("family", "ob", "mb").sortWithinPartitions("family", "ob", "mb", "member")
+    return full.mapInArrow(_exact_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,15 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = write_table(_confirmed(first, texts), "minhash-links")
     labels = connected_components(links)
-    across = _across(live, labels, classes)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = write_table(across.join(tested, ["a", "b"], "left_anti"), "minhash-across")
-    if not second.isEmpty():
-        more = write_table(_confirmed(second, texts), "minhash-links")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
-
-    for done in (classes, live, first, texts, second):
+    more = write_table(_across(live, labels, classes, texts), "minhash-across")
+    if not more.isEmpty():
+        labels = connected_components(links.union(more))
+    for done in (classes, live, first, texts, links, more):
         drop_table(done)
     table = groups.join(labels, groups["rep"] == labels["node"], "left").select("print", F.coalesce("comp", "rep").alias("component_id"), "copies")
     total = signed.count()
