@@ -3,7 +3,7 @@
 Voters are lexicon words, word beginnings and text patterns. Each votes toxic, clean or not at all.
 The label model treats a document's class as hidden and gives each voter a rate of each vote in each
 class; expectation maximisation estimates the rates. Voters that agree more than their classes
-explain are correlated, and each counts by one over its correlated company. The posterior labels
+explain are correlated, and each counts by one over its correlated company (estimated from triplets). The posterior labels
 then train a logistic classifier over the same and further features.
 """
 
@@ -15,6 +15,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from .labelled import fit_logistic, labelled_sample, sigmoid
@@ -22,15 +23,14 @@ from .quality import score_documents
 
 FOLDS, HELD_OUT = 5, 0
 LABEL = "toxic"
-#: Voters and classifier features from the lexicon at most; toxic documents that must hold one, at least and as a share; its least odds ratio.
+#: Voters from the lexicon at most; a term's least odds ratio; chances of one term by luck among all.
 LEXICON = 240
-LEAST_DOCUMENTS = 4
-LEAST_SHARE = 0.01
-#: Terms are chosen until each toxic document holds so many; a term must be new to so many of those that lack, at least and as a share.
-COVER = 2
-LEAST_NEW = 3
-LEAST_NEW_SHARE = 0.01
-LEAST_ODDS = 6.0
+LEAST_ODDS = 50.0
+LUCK = 1e-3
+#: Terms are chosen until each toxic document holds so many.
+COVER = 4
+#: Agreement beyond the classes from which on two voters are correlated.
+CORRELATED = 0.3
 #: Letters of a word's beginning.
 STEMS = (4, 5, 6)
 WORD = re.compile(r"\w+")
@@ -42,17 +42,35 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
+def without_copies(texts: list[str]) -> list[int]:
+    """The places of texts that don't share their least word hashes with an earlier one: copies and most near copies go, which would pass for evidence."""
+    seen: set[tuple[int, ...]] = set()
+    kept = []
+    for i, t in enumerate(texts):
+        h = sorted(map(xxhash.xxh3_64_intdigest, set(WORD.findall(t.lower()))))[:6]
+        keys = {tuple(h[:3]), tuple(h[3:])} if len(h) == 6 else {tuple(h)}
+        if not keys & seen:
+            kept.append(i)
+        seen |= keys
+    return kept
+
+
 def mine_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Terms much commoner in toxic documents, chosen greedily by evidence for documents that hold fewer than COVER chosen ones; of terms of the same documents the shortest."""
-    seen = (Counter(), Counter())
+    """Terms much commoner in toxic documents, and not by luck, chosen greedily by evidence for documents that hold fewer than COVER chosen ones; of terms of the same documents the shortest."""
+    kept = without_copies(texts)
+    texts, labels = [texts[i] for i in kept], labels[kept]
     n = [int((labels == 0).sum()), int((labels == 1).sum())]
-    per_text = [terms_of(t) for t in texts]
-    for terms, y in zip(per_text, labels, strict=True):
-        seen[int(y)].update(terms)
-    odds = {t: (k + 0.5) / (n[1] + 1) / ((seen[0][t] + 0.5) / (n[0] + 1)) for t, k in seen[1].items() if k >= max(LEAST_DOCUMENTS, n[1] * LEAST_SHARE)}
-    holders: dict[str, list[int]] = {t: [] for t, x in odds.items() if x >= LEAST_ODDS}
-    for i, terms in enumerate(per_text):
-        for t in terms & holders.keys():
+    if not all(n):
+        return []
+    # texts are read again for each step: their terms together would take far more memory than the texts
+    toxic = Counter(t for text, y in zip(texts, labels, strict=True) if y == 1 for t in terms_of(text))
+    certain, share = np.log(len(toxic) / LUCK), n[1] / sum(n)
+    toxic = {t: k for t, k in toxic.items() if -k * np.log(share) >= certain}  # what a term of no clean document needs
+    clean = Counter(t for text, y in zip(texts, labels, strict=True) if y == 0 for t in terms_of(text) & toxic.keys())
+    odds = {t: (k + 0.5) / (n[1] + 1) / ((clean[t] + 0.5) / (n[0] + 1)) for t, k in toxic.items()}
+    holders: dict[str, list[int]] = {t: [] for t, x in odds.items() if x >= LEAST_ODDS and _luck(toxic[t], clean[t], share) >= certain}
+    for i, text in enumerate(texts):
+        for t in terms_of(text) & holders.keys():
             holders[t].append(i)
     shortest: dict[tuple[int, ...], str] = {}
     for t in sorted(holders, key=lambda t: (len(t.rstrip("*")), t)):
@@ -61,14 +79,14 @@ def mine_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
     worth = {t: float(np.log(odds[t])) for t in shortest.values()}
     covers = {t: [i for i in holders[t] if labels[i] == 1] for t in worth}
     covered = Counter()
-    least = max(LEAST_NEW, n[1] * LEAST_NEW_SHARE)
     gain = [(-len(d) * worth[t], t) for t, d in covers.items()]
     heapq.heapify(gain)
     chosen: list[str] = []
     while gain and len(chosen) < LEXICON:
         _, t = heapq.heappop(gain)
         new = sum(1 for i in covers[t] if covered[i] < COVER)
-        if new < least or any(c.endswith("*") and t.startswith(c[:-1]) for c in chosen):  # a beginning speaks for what it begins
+        nested = any(c[:-1] == t[: len(c) - 1] if c.endswith("*") else t.endswith("*") and c.startswith(t[:-1]) for c in chosen)
+        if not new or nested:  # a beginning speaks for what it begins, and gets no credit for a word that speaks for itself
             continue
         if gain and -new * worth[t] > gain[0][0]:
             heapq.heappush(gain, (-new * worth[t], t))
@@ -78,6 +96,12 @@ def mine_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
     return chosen
 
 
+def _luck(k: int, c: int, share: float) -> float:
+    """Minus the logarithm of the chance (Chernoff's bound) that k of k + c holders are toxic."""
+    x = k / (k + c)
+    return (k + c) * (x * np.log(x / share) + ((1 - x) * np.log((1 - x) / (1 - share)) if c else 0.0)) if x > share else 0.0
+
+
 @dataclass
 class ToxicityModel:
     lexicon: list[str]
@@ -110,33 +134,51 @@ class ToxicityModel:
 
 
 def votes_of(x: np.ndarray) -> np.ndarray:
-    """1: toxic, 0: clean, -1: no vote. Terms and the first two patterns vote toxic; shouting never votes; no term at all votes clean."""
-    votes = np.where(x > 0, 1, -1)
-    votes[:, -2] = -1
+    """1: toxic, 0: clean, -1: no vote. Terms vote toxic, no term at all votes clean; the other patterns follow from terms or say nothing, and only the classifier uses them."""
+    votes = np.where(x > 0, 1, -1)[:, :-3]
     votes[:, -1] = np.where(x[:, -1] > 0, 0, -1)
     return votes
 
 
-def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior probability of class 1, the voters' accuracies, and the voters' weights after their correlations."""
-    n, m = votes.shape
+def company_of(votes: np.ndarray) -> np.ndarray:
+    """How much of each pair's agreement their common class doesn't explain (diagonal 1).
+
+    If the class alone made voters agree, the correlation of two would be the product of one number
+    for each; triplets give its square as r(i,j) r(i,k) / r(j,k). The lower quartile over triplets is
+    that of voters outside one's own company.
+    """
+    shown = np.where(votes == 1, 1.0, np.where(votes == 0, 0.0, 0.5))
+    shown -= shown.mean(axis=0)
+    shown /= shown.std(axis=0) + 1e-9
+    r = shown.T @ shown / max(1, len(votes))
+    m = len(r)
+    strength = np.zeros(m)
+    for i in range(m):
+        others = np.delete(np.arange(m), i)
+        if len(others) > 1:
+            below = np.abs(r[np.ix_(others, others)])
+            ratio = np.abs(np.outer(r[i, others], r[i, others])) / np.maximum(below, 1e-3)
+            strength[i] = min(1.0, float(np.sqrt(np.quantile(ratio[np.triu_indices(len(others), 1)], 0.25))))
+    left = np.abs(r - np.outer(strength, strength) * np.sign(r))
+    np.fill_diagonal(left, 1.0)
+    return left
+
+
+def label_model(votes: np.ndarray, rounds: int = 25, derived: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior probability of class 1, the voters' accuracies, and the voters' weights after their correlations.
+
+    The last `derived` voters follow from others by rule; they keep their weight, and correlations
+    are those of the rest.
+    """
     is_vote = np.stack([votes == 1, votes == 0, votes == -1]).astype(np.float64)  # 3, n, m
-    q = np.clip(0.5 + 0.5 * np.sign((votes == 1).sum(axis=1) - 3 * (votes == 0).sum(axis=1) - 0.5), 0.02, 0.98)
-    weight = np.ones(m)
-    for step in range(rounds):
+    company = company_of(votes[:, : votes.shape[1] - derived])
+    weight = np.concatenate([1.0 / np.where(company > CORRELATED, company, 0.0).sum(axis=1), np.ones(derived)])
+    q = np.clip(0.5 + 0.48 * np.sign(is_vote[0] @ weight - is_vote[1] @ weight), 0.02, 0.98)
+    for _ in range(rounds):
         prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
         rate = [np.stack([(w @ is_vote[v] + 0.1) / (w.sum() + 0.3) for v in range(3)]) for w in (1 - q, q)]  # 3, m for each class
         logs = np.log(rate[1]) - np.log(rate[0])
-        z = np.log(prior / (1 - prior)) + sum(is_vote[v] @ (weight * logs[v]) for v in range(3))
-        q = sigmoid(z)
-        if step in (5, 15):  # residual correlations: agreement beyond what the classes explain
-            shown = is_vote[0] + 0.5 * is_vote[2]
-            means = [rate[c][0] + 0.5 * rate[c][2] for c in (0, 1)]
-            left = shown - np.outer(1 - q, means[0]) - np.outer(q, means[1])
-            left /= left.std(axis=0) + 1e-9
-            company = np.abs(left.T @ left) / max(1, n)
-            np.fill_diagonal(company, 1.0)
-            weight = 1.0 / np.maximum(1.0, np.where(company > 0.2, company, 0.0).sum(axis=1))
+        q = sigmoid(np.log(prior / (1 - prior)) + sum(is_vote[v] @ (weight * logs[v]) for v in range(3)))
     cast = np.maximum(1e-9, (votes >= 0).sum(axis=0))
     right = ((votes == 1) * q[:, None] + (votes == 0) * (1 - q[:, None])).sum(axis=0) / cast
     return q, right, weight
@@ -149,7 +191,7 @@ def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     model.weights, model.mean, model.scale = np.zeros(width + 1), np.zeros(width), np.ones(width)
     if texts and model.lexicon:
         x = model.features(texts)
-        q, _, _ = label_model(votes_of(x))
+        q, _, _ = label_model(votes_of(x), derived=1)
         model.weights = fit_logistic(x, q, ridge=2e-4)
     return model
 
