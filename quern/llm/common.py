@@ -19,11 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in spark.checkpoint.dir, or the one set on the context; a folder of our own only where neither is (tests)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-shared-')}")
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
