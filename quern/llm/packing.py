@@ -195,7 +195,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     plan, _ = best_fit_decreasing(counts, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(cells, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
+    # the cells grow with the input's partitions: never broadcast, however small their files look
+    ranked = pieces.join(cells.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     table = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)  # a few runs for each pair of lengths at most, whatever the corpus
     return ranked.mapInArrow(_placer(shared), f"doc_id {ranked.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
