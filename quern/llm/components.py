@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_table, write_table
@@ -21,9 +21,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("over"))
         jumped = step.join(up, step["comp"] == up["up"], "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "old")
-        new = write_table(jumped, "cc-labels")
+        moved = Observation()  # counted while the labels are written: one query for each round
+        new = write_table(jumped.observe(moved, F.count(F.when(F.col("comp") != F.col("old"), True)).alias("n")).select("node", "comp"), "cc-labels")
         drop_table(labels)
-        labels = new.select("node", "comp")
-        if new.where("comp <> old").isEmpty():
+        labels = new
+        if not moved.get["n"]:
             drop_table(both)
             return labels
