@@ -1,9 +1,12 @@
-"""License scan by patience alignment of texts with license templates.
+"""License scan by patience alignment of texts with license texts, standard headers and short notices.
 
 Words unique to both sides are anchors; the longest increasing subsequence of their places keeps the
 order; the gaps between kept anchors are aligned the same way, down to gaps without anchors, which a
 plain longest common subsequence finishes when they are small. A template's coverage is the share of
 its words that are aligned.
+
+Only places that can reach the coverage are aligned: a place must hold enough of the template's words,
+each counted as often as the template has it, and its common subsequence must be long enough.
 """
 
 from __future__ import annotations
@@ -13,19 +16,35 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices looked for, by SPDX identifier where there is one. Fixed values.
-TEMPLATES = {
+#: Short notices looked for, by SPDX identifier where there is one. Fixed values.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
+
+
+def with_texts(notices: dict[str, str]) -> dict[str, tuple[str, ...]]:
+    """The notices, and the whole texts and standard headers (NAME.txt and NAME.header.txt) of the folder licenses beside this file."""
+    out = {k: (v,) for k, v in notices.items()}
+    for file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        name = file.name.removesuffix(".txt").removesuffix(".header")
+        out[name] = (*out.get(name, ()), file.read_text(encoding="utf-8"))
+    return out
+
+
+#: Templates by license.
+TEMPLATES = with_texts(NOTICES)
 #: Share of a template's words that must be aligned; words that may stand between two words of one notice; cells of a plain alignment.
 COVERAGE = 0.8
 GAP = 6
@@ -86,6 +105,39 @@ def patience_align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence. Tables above PLAIN_CELLS are halved by the lengths up to their middle, in memory linear in the words."""
+    out: list[tuple[int, int]] = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        i, m, j, n = stack.pop()
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= PLAIN_CELLS:
+            out += [(i + x, j + y) for x, y in _common(a[i:m], b[j:n])]
+        elif m - i == 1:
+            out += [(i, j + b[j:n].index(a[i]))] if a[i] in b[j:n] else []
+        else:
+            half = (i + m) // 2
+            head, tail = _lengths(a[i:half], b[j:n]), _lengths(a[half:m][::-1], b[j:n][::-1])
+            cut = j + max(range(n - j + 1), key=lambda k: head[k] + tail[n - j - k])
+            stack += [(i, half, j, cut), (half, m, cut, n)]
+    return sorted(out)
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequence of a with each beginning of b; a bit for each word of b."""
+    at: dict[str, int] = {}
+    for k, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    left = full
+    for w in a:
+        x = left & at.get(w, 0)
+        left = (left + x | left - x) & full
+    return list(accumulate((bit == "0" for bit in reversed(f"{left:0{len(b)}b}")), initial=0))
+
+
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -109,64 +161,158 @@ class Notice:
     first: int  # word indices, the end exclusive
     past: int
     coverage: float
+    aligned: int  # words
+
+
+class Template:
+    def __init__(self, license: str, words: list[str], coverage: float) -> None:
+        self.license, self.words, self.coverage = license, words, coverage
+        self.times = Counter(words)
+        self.least = coverage * len(words) - 1e-9
+        self._bits: dict[str, int] = {}  # of each word's places; filled where it is needed
+
+    def common(self, words: list[str]) -> int:
+        """Length of the longest common subsequence with words, a bit for each word of the template."""
+        if not self._bits:
+            for i, w in enumerate(self.words):
+                self._bits[w] = self._bits.get(w, 0) | 1 << i
+        full = (1 << len(self.words)) - 1
+        left = full
+        for w in words:
+            at = left & self._bits.get(w, 0)
+            if at:
+                left = (left + at | left - at) & full
+        return len(self.words) - left.bit_count()
+
+    def places(self, words: list[str]) -> list[list[tuple[int, int]]]:
+        """Alignments that reach the coverage, by place and apart from each other, as pairs of places in words and template."""
+        hits = [i for i, w in enumerate(words) if w in self.times]
+        out, start = [], 0
+        for k in range(1, len(hits) + 1):
+            if k == len(hits) or hits[k] - hits[k - 1] > GAP:
+                out += self._of_stretch(words, hits[start], hits[k - 1] + 1) if k - start >= self.least else []
+                start = k
+        return out
+
+    def _of_stretch(self, words: list[str], first: int, past: int) -> list[list[tuple[int, int]]]:
+        n, found = len(self.words), []
+        # narrow windows part copies that touch; wide ones find copies with words put in
+        for width in (n, n + GAP, max(2 * n, n + GAP)):
+            edges = [first, *(e for pairs in found for e in (pairs[0][0], pairs[-1][0] + 1)), past]
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                if b - a >= self.least:
+                    found += self._windows(words, a, b, width)
+            found.sort()
+        ends = [first, *(pairs[-1][0] + 1 for pairs in found)]
+        starts = [*(pairs[0][0] for pairs in found[1:]), past]
+        return [self._grown(words, pairs, a, b) for pairs, a, b in zip(found, ends, starts, strict=False)]
+
+    def _windows(self, words: list[str], a: int, b: int, width: int) -> Iterator[list[tuple[int, int]]]:
+        n = len(self.words)
+        score, counts, held = [], Counter(), 0  # template words in the window from each place
+        end = a
+        for at in range(a, b):
+            while end < min(at + width, b):
+                w = words[end]
+                counts[w] += 1
+                held += counts[w] <= self.times.get(w, 0)
+                end += 1
+            score.append(held)
+            w = words[at]
+            held -= counts[w] <= self.times.get(w, 0)
+            counts[w] -= 1
+        at = a
+        while at < b:
+            if score[at - a] < self.least:
+                at += 1
+                continue
+            size = self.common(words[at : min(at + width, b)])
+            if size < self.least:
+                at += max(1, int(self.least - size))  # a step brings one word more at most
+                continue
+            # the place that holds most, among those that begin before this one's words are through
+            near = range(at, min(b, at + max(1, min(width - int(self.least), int(self.least)))))
+            best = max(near, key=lambda i: score[i - a])
+            pairs = patience_align(words[best : min(best + width, b)], self.words)
+            if len(pairs) < self.least:
+                best, pairs = at, patience_align(words[at : min(at + width, b)], self.words)
+            if len(pairs) < self.least:
+                pairs = longest_common(words[at : min(at + width, b)], self.words)
+            yield [(best + i, j) for i, j in pairs]
+            at = best + pairs[-1][0] + 1
+
+    def _grown(self, words: list[str], pairs: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+        """The alignment with the template's words that its window cut off, as far as no more than GAP words stand between."""
+        n = len(self.words)
+        if len(pairs) == n:
+            return pairs
+        (i, j), (u, v) = pairs[0], pairs[-1]
+        if j:
+            a = max(a, i - 2 * j - GAP)
+            for x, y in reversed(patience_align(words[a:i], self.words[:j])):
+                if pairs[0][0] - (a + x) - 1 > GAP:
+                    break
+                pairs = [(a + x, y), *pairs]
+        if v < n - 1:
+            for x, y in patience_align(words[u + 1 : min(b, u + 1 + 2 * (n - 1 - v) + GAP)], self.words[v + 1 :]):
+                if u + 1 + x - pairs[-1][0] - 1 > GAP:
+                    break
+                pairs = [*pairs, (u + 1 + x, v + 1 + y)]
+        return pairs
 
 
 class LicenseScanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> None:
-        self.templates = {k: words_of(v) for k, v in templates.items() if words_of(v)}
+    def __init__(self, templates: dict[str, str | tuple[str, ...]] = TEMPLATES, coverage: float = COVERAGE) -> None:
         self.coverage = coverage
-        self.vocabulary: dict[str, list[str]] = {}
-        for name, words in self.templates.items():
-            for w in set(words):
-                self.vocabulary.setdefault(w, []).append(name)
+        self.order = {k: i for i, k in enumerate(templates)}
+        texts = [(k, [w for w in words_of(t) if w]) for k, v in templates.items() for t in ((v,) if isinstance(v, str) else v)]
+        self.templates = [Template(k, words, coverage) for k, words in texts if words]
+        self.places = {w: i for i, w in enumerate(sorted({w for t in self.templates for w in t.times}))}
+        self.times = np.zeros((len(self.places), len(self.templates)), np.int32)
+        for k, t in enumerate(self.templates):
+            for w, n in t.times.items():
+                self.times[self.places[w], k] = n
+        self.least = np.array([t.least for t in self.templates])
 
     def notices(self, words: list[str]) -> list[Notice]:
-        """Places of every template, by place; of overlapping ones that with the most aligned words, then the first listed."""
-        hits: dict[str, list[int]] = {}
-        for i, w in enumerate(words):
-            for name in self.vocabulary.get(w, ()):
-                hits.setdefault(name, []).append(i)
+        """Places of every template, by place; of overlapping ones that with the most aligned words, then the highest coverage, then the first listed."""
+        whole = [i for i, w in enumerate(words) if w]  # what is punctuation only is no word
+        words = [words[i] for i in whole]
+        held = [(self.places[w], n) for w, n in Counter(words).items() if w in self.places]
+        if not held:
+            return []
+        rows, n = np.array(held).T
         found = []
-        for order, (name, template) in enumerate(self.templates.items()):
-            for first, past in _regions(hits.get(name, []), len(template), self.coverage):
-                pairs = patience_align(words[first:past], template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
-                    found.append((-len(pairs), order, Notice(name, first + pairs[0][0], first + pairs[-1][0] + 1, share)))
-        found.sort(key=lambda x: (x[0], x[1], x[2].first))
+        for k in np.flatnonzero(np.minimum(self.times[rows], n[:, None]).sum(0) >= self.least):
+            t = self.templates[k]
+            for pairs in t.places(words):
+                share = len(pairs) / len(t.words)
+                notice = Notice(t.license, whole[pairs[0][0]], whole[pairs[-1][0]] + 1, share, len(pairs))
+                found.append((*self.rank(notice), notice.first, notice.past, notice))
+        found.sort(key=lambda x: x[:-1])
         kept: list[Notice] = []
+        firsts: list[int] = []
         for *_, n in found:
-            if all(n.past <= k.first or k.past <= n.first for k in kept):
-                kept.append(n)
-        return sorted(kept, key=lambda n: n.first)
-
+            at = bisect_left(firsts, n.first)
+            if (at == 0 or kept[at - 1].past <= n.first) and (at == len(kept) or n.past <= kept[at].first):
+                firsts.insert(at, n.first)
+                kept.insert(at, n)
+        return kept
 
-def _regions(hits: list[int], length: int, coverage: float) -> Iterator[tuple[int, int]]:
-    """Stretches of hits without a gap; long ones, that hold several notices, in a window from each hit on."""
-    least, start = coverage * length, 0
-    for k in range(1, len(hits) + 1):
-        if k < len(hits) and hits[k] - hits[k - 1] <= GAP:
-            continue
-        run, start = hits[start:k], k
-        if len(run) < least:
-            continue
-        if run[-1] + 1 - run[0] <= 2 * length:
-            yield run[0], run[-1] + 1
-        else:
-            for at in run:
-                yield at, min(run[-1], at + length + GAP) + 1
+    def rank(self, notice: Notice) -> tuple[int, float, int]:
+        """The best notice has the least."""
+        return -notice.aligned, -notice.coverage, self.order[notice.license]
 
 
 def scan_licenses(docs: DataFrame, scanner: LicenseScanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, license, coverage, n_notices, spans.
 
-    license and coverage are of the best notice (most aligned words, then the first listed), null and
-    0 without one. spans: license:start:end by start, comma-joined; code points, ends exclusive.
+    license and coverage are of the best notice (most aligned words, then the highest coverage, then
+    the first listed), null and 0 without one. spans: license:start:end by start, comma-joined; code points, ends exclusive.
     Null and empty texts have none. Whole texts are scanned whatever their length; repeated rows are
     scanned each; other columns don't matter; an empty table gives an empty result.
     """
     scanner = scanner or LicenseScanner()
-    order = {k: i for i, k in enumerate(scanner.templates)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +323,7 @@ def scan_licenses(docs: DataFrame, scanner: LicenseScanner | None = None, id_col
                 if not found:
                     rows.append((None, 0.0, 0, ""))
                     continue
-                best = min(found, key=lambda n: (-n.coverage * len(scanner.templates[n.license]), order[n.license]))
+                best = min(found, key=scanner.rank)
                 at = [m.span() for m in _WORD.finditer(text)]
                 spans = ",".join(f"{n.license}:{at[n.first][0]}:{at[n.past - 1][1]}" for n in found)
                 rows.append((best.license, best.coverage, len(found), spans))

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from importlib.resources import files
 from math import log2
 
 import pytest
@@ -179,3 +180,23 @@ def test_long_template():
     changed = body.replace("clause50 of", "clause50 CHANGED of").replace("thing3", "item3")
     found = s.notices(words_of("before it " + changed + " after it"))
     assert len(found) == 1 and 0.95 < found[0].coverage < 1.0 and found[0].first == 2
+
+
+def test_whole_texts_and_headers(spark):
+    edited = {}
+    for file in files("quern.llm").joinpath("licenses").iterdir():
+        words = file.read_text().split()
+        for k in range(0, len(words), 12):
+            words[k] = "edited"
+        edited[file.name] = " ".join(words)
+        edited["# " + file.name] = "int x;\n" + file.read_text().replace("\n", "\n# ")
+    rows = list(enumerate(edited.values()))
+    got = {r["doc_id"]: r for r in scan_licenses(documents(spark, rows)).collect()}
+    for i, name in enumerate(edited):
+        assert got[i]["license"] == name.removeprefix("# ").removesuffix(".txt").removesuffix(".header")
+        assert (got[i]["coverage"] == 1.0) == name.startswith("# ") and got[i]["n_notices"] == 1
+    assert len(rows) >= 50
+    both = files("quern.llm").joinpath("licenses")
+    text = both.joinpath("MIT.txt").read_text() + both.joinpath("BSD-2-Clause.txt").read_text() + both.joinpath("ISC.txt").read_text()
+    assert [n.license for n in LicenseScanner().notices(words_of(text))] == ["MIT", "BSD-2-Clause", "ISC"]
+    assert LicenseScanner().notices(words_of(" ".join(text.split()[::-1]))) == []
