@@ -2,7 +2,7 @@
 
 Words unique to both sides are anchors; the longest increasing subsequence of their places keeps the
 order; the gaps between kept anchors are aligned the same way, down to gaps without anchors, which a
-plain longest common subsequence finishes when they are small. A template's coverage is the share of
+longest common subsequence finishes. A template's coverage is the share of
 its words that are aligned.
 
 Only places that can reach the coverage are aligned: a place must hold enough of the template's words,
@@ -100,8 +100,8 @@ def patience_align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out += kept
             edges = [(i - 1, j - 1), *kept, (m, n)]
             stack += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(edges, edges[1:], strict=False)]
-        elif (m - i) * (n - j) <= PLAIN_CELLS:
-            out += [(i + x, j + y) for x, y in _common(a[i:m], b[j:n])]
+        else:
+            out += [(i + x, j + y) for x, y in longest_common(a[i:m], b[j:n])]
     return sorted(out)
 
 

@@ -200,3 +200,21 @@ def test_whole_texts_and_headers(spark):
     text = both.joinpath("MIT.txt").read_text() + both.joinpath("BSD-2-Clause.txt").read_text() + both.joinpath("ISC.txt").read_text()
     assert [n.license for n in LicenseScanner().notices(words_of(text))] == ["MIT", "BSD-2-Clause", "ISC"]
     assert LicenseScanner().notices(words_of(" ".join(text.split()[::-1]))) == []
+
+
+def test_adjacent_copies_and_large_gaps():
+    s = LicenseScanner()
+    for notice, n in (("All rights reserved.", 3), ("Licensed under the Apache License, Version 2.0.", 7), ("Released under the MIT License.", 5)):
+        assert [(x.first, x.past) for x in s.notices(words_of(f"{notice} {notice}"))] == [(0, n), (n, 2 * n)]
+    a = ["x", *"abcd" * 90, "y"]
+    b = ["z", *"abdc" * 90, "w"]
+    assert len(a) * len(b) > 40_000
+    pairs = patience_align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    row = [0] * (len(b) + 1)
+    for w in a:
+        last = row
+        row = [0]
+        for j, v in enumerate(b):
+            row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
+    assert len(pairs) == row[-1]
