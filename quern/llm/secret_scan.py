@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a maximal run of one character class with a digit and a letter in it. A window slides
-over it; the entropy of the window follows from the counts of its characters, of which each step
-changes two. Windows at or above the class's threshold are merged to spans, unless an allow-list
-pattern covers them.
+A candidate is a maximal run of one character class with a digit and a letter in it; each class takes
+its own runs, also those inside wider runs. A window slides over it; the entropy of the window follows
+from the counts of its characters, of which each step changes two. Windows at or above the class's
+threshold are merged to spans, unless an allow-list pattern covers them; then the spans of all classes
+that overlap are merged.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class CharClass:
     threshold: float
 
 
-#: A run counts for the first class that its characters all belong to.
+#: Merged spans have the kind of the longest one, of equal ones the first class.
 CLASSES = (CharClass("entropy_hex", r"[0-9A-Fa-f]{20,}", 20, 2.9), CharClass("entropy_base64", r"[A-Za-z0-9+/=_-]{20,}", 20, 3.6))
 #: What looks random and isn't secret: UUIDs, placeholders, counted sequences, digests named as such, data URLs.
 ALLOWED = (
@@ -51,12 +52,11 @@ ALLOWED = (
 class SecretScanner:
     classes: tuple[CharClass, ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
-    _run: re.Pattern = field(init=False)
+    _runs: tuple[re.Pattern, ...] = field(init=False)
     _allow: re.Pattern = field(init=False)
 
     def __post_init__(self) -> None:
-        least = min(c.window for c in self.classes)
-        object.__setattr__(self, "_run", re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % least))
+        object.__setattr__(self, "_runs", tuple(re.compile(c.pattern) for c in self.classes))
         object.__setattr__(self, "_allow", re.compile("|".join(f"(?:{p})" for p in self.allowed) or r"(?!)"))
 
     def base_spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -68,19 +68,24 @@ class SecretScanner:
         return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
     def entropy_spans(self, text: str) -> list[tuple[int, int, str]]:
-        out, allowed = [], None
-        for m in self._run.finditer(text):
-            run = m.group()
-            if run.isalpha() or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-                continue
-            for c in self.classes:
-                if re.fullmatch(c.pattern, run):
-                    if allowed is None:
-                        allowed = [a.span() for a in self._allow.finditer(text)]
-                    spans = [(m.start() + a, m.start() + b) for a, b in dense_windows(run, c.window, c.threshold)]
-                    out += [(a, b, c.kind) for a, b in spans if not any(x <= a and b <= y for x, y in allowed)]
-                    break
-        return out
+        found, allowed = [], None
+        for order, (c, runs) in enumerate(zip(self.classes, self._runs, strict=True)):
+            for m in runs.finditer(text):
+                run = m.group()
+                if run.isalpha() or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
+                    continue
+                if allowed is None:
+                    allowed = [a.span() for a in self._allow.finditer(text)]
+                spans = [(m.start() + a, m.start() + b) for a, b in dense_windows(run, c.window, c.threshold)]
+                found += [(a, b, order) for a, b in spans if not any(x <= a and b <= y for x, y in allowed)]
+        out: list[tuple[int, int, int, int]] = []  # start, end, less the longest span's length, its class
+        for a, b, order in sorted(found):
+            if out and a < out[-1][1]:
+                x, y, *longest = out[-1]
+                out[-1] = (x, max(y, b), *min(tuple(longest), (a - b, order)))
+            else:
+                out.append((a, b, a - b, order))
+        return [(a, b, self.classes[order].kind) for a, b, _, order in out]
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """The base spans, and all spans by start, then kind."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from importlib.resources import files
@@ -69,6 +70,20 @@ def test_entropy_finds_and_allows():
         assert s.entropy_spans(quiet) == []
 
 
+@pytest.mark.parametrize("before, after", [("", ""), ("=", ""), ("_", "_x"), ("/", ""), ("id-", "-z"), ("key=", ""), ("path/", "/end"), ("DB_KEY=", "==")])
+def test_hex_inside_wider_runs(before, after):
+    s, rng = SecretScanner(), random.Random(5)
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        hits = 0
+        for _ in range(300):
+            secret = "".join(rng.choices(digits, k=24))
+            spans = s.entropy_spans(f"x {before}{secret}{after} y")
+            at = 2 + len(before)
+            hits += any(a <= at + 2 and at + 22 <= b for a, b, _ in spans)
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        assert hits >= 294
+
+
 def test_awkward_secrets(spark):
     assert scan_secrets(documents(spark, awkward())).count() == len(awkward())
     assert scan_secrets(documents(spark, [])).count() == 0
