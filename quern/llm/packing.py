@@ -37,7 +37,8 @@ class Vocabulary:
 
     The file's vocabulary and special tokens go to tiktoken, which gives the same ids as the
     tokenizers library in a quarter of its time; each worker compares both on PROBES when it loads
-    the file, and keeps to the tokenizers library if they differ.
+    the file, and keeps to the tokenizers library if they differ. Texts that tiktoken can't encode, as
+    with a million white-space characters in a row, go to the tokenizers library too.
     """
 
     _loaded: dict[str, Vocabulary] = {}
@@ -62,7 +63,10 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         if self.fast is None:
             return self.encode_slowly(text)
-        return array("I", self.fast.encode(text, allowed_special="all", disallowed_special=())).tobytes()
+        try:
+            return array("I", self.fast.encode(text, allowed_special="all", disallowed_special=())).tobytes()
+        except ValueError:  # its splitting expression ran out of stack
+            return self.encode_slowly(text)
 
 
 def _tiktoken_of(path: str):

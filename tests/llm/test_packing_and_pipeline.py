@@ -163,3 +163,17 @@ def test_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_001 + "x", "a" + "\t" * 1_000_001 + "b", "\n" * 1_200_000])
+def test_very_long_white_space(text):
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert list(array("I", Vocabulary.load(PATH).encode(text))) == ids
+
+
+def test_pack_very_long_white_space(spark):
+    rows = [(1, "one"), (2, " " * 1_000_001 + "x"), (3, "two")]
+    got = pack(documents(spark, rows), PATH).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(Vocabulary.load(PATH).encode_slowly(t)) // 4 + 1 for i, t in rows}
