@@ -148,12 +148,24 @@ def methods_of_class(spark, d):  # R04, R36
     return Catalog.of(spark, classes=some, methods=order_methods(spark, d)).methods_of(some).select("class_ord", "method_ord", "name")
 
 
+@bound("methods_of_classes", "SELECT o_custkey AS class_ord, CAST(o_orderkey AS INTEGER) AS method_ord, o_orderpriority AS name FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def methods_of_classes(spark, d):  # R04, R36, of all classes
+    classes = customer_classes(spark, d)
+    return Catalog.of(spark, classes=classes, methods=order_methods(spark, d)).methods_of(classes).select("class_ord", "method_ord", "name")
+
+
 @bound("fields_of_class", "SELECT l_orderkey AS class_ord, l_linenumber AS field_ord, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def fields_of_class(spark, d):  # R05
     some = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("class_ord"))
     return Catalog.of(spark, classes=some, fields=line_fields(spark, d)).fields_of(some)
 
 
+@bound("fields_of_classes", "SELECT l_orderkey AS class_ord, l_linenumber AS field_ord, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def fields_of_classes(spark, d):  # R05, of all classes
+    classes = read(spark, d, "orders").select(F.col("o_orderkey").alias("class_ord"))
+    return Catalog.of(spark, classes=classes, fields=line_fields(spark, d)).fields_of(classes)
+
+
 def line_fields(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("class_ord"), F.col("l_linenumber").alias("field_ord"), F.col("l_partkey").cast("string").alias("name"), F.col("l_returnflag").alias("type"))
 
@@ -233,6 +245,20 @@ def resolve_code(spark, d):  # R45
     return rv.resolve_code(names, classes, order_methods(spark, d)).fillna(-1, ["method_ord"])  # -1: the whole class
 
 
+@bound("resolve_code_all", """
+    WITH names AS (SELECT c_custkey, c_name, unnest([c_name || '.1-URGENT(I)F', c_name || '.1-URGENT', c_name || '.nope', c_name]) AS name FROM customer),
+         m AS (SELECT o_custkey, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS sig, min(o_orderkey) AS named FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+    SELECT name, c_custkey AS class_ord,
+           CAST(coalesce(CASE WHEN name LIKE '%(I)F' THEN sig WHEN name LIKE '%URGENT' THEN named END, -1) AS INTEGER) AS method_ord,
+           CASE WHEN name LIKE '%(I)F' AND sig IS NOT NULL THEN 1 WHEN name LIKE '%URGENT' AND named IS NOT NULL THEN 2 ELSE 3 END AS branch
+    FROM names LEFT JOIN m ON o_custkey = c_custkey
+""")
+def resolve_code_all(spark, d):  # R45, names of all classes
+    classes = customer_classes(spark, d)
+    names = classes.select(F.explode(F.array(F.concat("full_name", F.lit(".1-URGENT(I)F")), F.concat("full_name", F.lit(".1-URGENT")), F.concat("full_name", F.lit(".nope")), F.col("full_name"))).alias("name"))
+    return rv.resolve_code(names, classes, order_methods(spark, d)).fillna(-1, ["method_ord"])  # -1: the whole class
+
+
 @bound("method_by_descriptor", "SELECT o_custkey AS class_ord, CAST(min(o_orderkey) AS INTEGER) AS method_ord FROM orders WHERE o_orderpriority = '2-HIGH' AND ends_with(o_orderpriority || '(I)' || o_orderstatus, '(I)O') GROUP BY 1")
 def method_by_descriptor(spark, d):  # R47
     return rv.method_named(order_methods(spark, d), "2-HIGH", "(I)O")
