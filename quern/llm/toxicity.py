@@ -34,6 +34,19 @@ CORRELATED = 0.3
 #: Letters of a word's beginning.
 STEMS = (4, 5, 6)
 WORD = re.compile(r"\w+")
+#: Patterns that vote, whatever words they hold: second-person frames, repeated punctuation, spelled-out words, masked words.
+PATTERNS = (
+    re.compile(r"\b(?:you|u)(?:['\u2019]re|\s+(?:are|r))?\s+(?:(?:all|just|really|so|such|nothing\s+but)\s+){0,4}an?\b|\b(?:shut\s+up|get\s+lost|go\s+to\s+hell)\b", re.I),
+    re.compile(r"[!?]{3,}"),
+    re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?!\w)"),
+    re.compile(r"(?<!\w)[^\W\d_]+[*#$]+[^\W\d_]+(?!\w)|(?<!\w)[^\W\d_][*#$]{2,}"),
+)
+#: Words for the reader.
+SECOND = frozenset(("you", "your", "yours", "yourself", "youre", "u", "ur"))
+#: Columns beside the lexicon: shares that only the classifier uses; voting patterns, shouting first; two hits, three hits, none.
+SHARES = 4
+VOTING = 1 + len(PATTERNS)
+BESIDE = SHARES + VOTING + 3
 
 
 def terms_of(text: str) -> set[str]:
@@ -119,14 +132,17 @@ class ToxicityModel:
         hits = {at[w] for w in words if w in at}
         for n in STEMS:
             hits.update(at[s] for s in {f"{w[:n]}*" for w in words if len(w) > n} if s in at)
-        out = np.zeros(len(at) + 4)
+        out = np.zeros(len(at) + BESIDE)
         out[list(hits)] = 1
-        shouted = sum(map(str.isupper, written)) > 0.5 * len(written)
-        out[-4:] = len(hits) >= 2, len(hits) >= 3, shouted, len(hits) == 0
+        upper, n = sum(map(str.isupper, written)), max(1, len(written))
+        marks = text.count("!") + text.count("?")
+        shares = upper / n, marks / (marks + n), len(SECOND & words) / n, sum(map(str.isdigit, written)) / n
+        patterns = (p.search(text) is not None for p in PATTERNS)
+        out[-BESIDE:] = *shares, upper > 0.5 * len(written), *patterns, len(hits) >= 2, len(hits) >= 3, len(hits) == 0
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([self.present(t or "") for t in texts]).reshape(len(texts), len(self.lexicon) + 4)
+        return np.array([self.present(t or "") for t in texts]).reshape(len(texts), len(self.lexicon) + BESIDE)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = (self.features(texts) - self.mean) / self.scale
@@ -134,8 +150,9 @@ class ToxicityModel:
 
 
 def votes_of(x: np.ndarray) -> np.ndarray:
-    """1: toxic, 0: clean, -1: no vote. Terms vote toxic, no term at all votes clean; the other patterns follow from terms or say nothing, and only the classifier uses them."""
-    votes = np.where(x > 0, 1, -1)[:, :-3]
+    """1: toxic, 0: clean, -1: no vote. Terms and patterns vote toxic, no term at all votes clean; the shares and the counts of hits only serve the classifier. Patterns that no text has are left out."""
+    voters = [*range(x.shape[1] - BESIDE), *(k for k in range(x.shape[1] - VOTING - 3, x.shape[1] - 3) if x[:, k].any())]
+    votes = np.where(x[:, [*voters, -1]] > 0, 1, -1)
     votes[:, -1] = np.where(x[:, -1] > 0, 0, -1)
     return votes
 
@@ -187,7 +204,7 @@ def label_model(votes: np.ndarray, rounds: int = 25, derived: int = 0) -> tuple[
 def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """The labels choose the lexicon alone; the classifier's targets are the label model's posteriors."""
     model = ToxicityModel(mine_lexicon(texts, labels))
-    width = len(model.lexicon) + 4
+    width = len(model.lexicon) + BESIDE
     model.weights, model.mean, model.scale = np.zeros(width + 1), np.zeros(width), np.ones(width)
     if texts and model.lexicon:
         x = model.features(texts)

@@ -118,3 +118,17 @@ def test_logistic():
     y = (rng.random(4000) < sigmoid(x @ [2.0, -1.0] + 0.5)).astype(float)
     assert np.abs(fit_logistic(x, y, ridge=1e-6) - [2.0, -1.0, 0.5]).max() < 0.25
     assert np.isfinite(fit_logistic(np.zeros((4, 1)), np.ones(4))).all()
+
+
+def test_patterns_vote_and_tell_texts_without_terms_apart():
+    from quern.llm.toxicity import ToxicityModel, votes_of
+
+    texts = ["YOU ARE HERE NOW", "you are such a one", "what!!! is this", "an i d i o t of sorts", "some f**k here", "a plain text", "i am a bee, you know"]
+    votes = votes_of(ToxicityModel(["grumbak"]).features(texts))
+    assert [list(v).count(1) for v in votes] == [1, 1, 1, 1, 1, 0, 0] and (votes[:, -1] == 0).all()
+    rows = labelled(600, 2)
+    y = np.array([t for *_, t in rows], float)
+    marked = [f"{t} what!!! f**k" if bad else t for (_, t, *_), bad in zip(rows, y, strict=True)]
+    model = fit_toxicity(marked, y)
+    plain, pattern = model.scores(["a plain text of words", "a plain text!!! f**k"])
+    assert pattern > plain
