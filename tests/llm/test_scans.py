@@ -1,37 +1,104 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from importlib.resources import files
 from math import log2
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from quern.llm import ogg_media as ogg
 from quern.llm.license_scan import LicenseScanner, increasing, patience_align, scan_licenses, words_of
 from quern.llm.ogg_media import media_columns, payload_from, payload_of, read_media, read_ogg, write_ogg
-from quern.llm.secret_scan import SecretScanner, dense_windows, scan_secrets
+from quern.llm.secret_scan import ALLOWED, PLACEHOLDERS, SEQUENCES, SecretScanner, dense_windows, scan_secrets
 
 from .helpers import awkward, documents
 
 # secrets ---------------------------------------------------------------------------------------
 
 
+def bits(w):
+    return -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcdef0123456789", min_size=1, max_size=90), st.integers(2, 24), st.floats(0.5, 4))
 def test_windows_against_recount(run, window, threshold):
-    want = []
-    for i in range(len(run) - window + 1):
-        w = run[i : i + window]
-        if -sum(w.count(c) / window * log2(w.count(c) / window) for c in set(w)) >= threshold - 1e-9 / window:
-            if want and i <= want[-1][1]:
-                want[-1] = (want[-1][0], i + window)
-            else:
-                want.append((i, i + window))
-    got = dense_windows(run, window, threshold)
-    assert got == want or abs(threshold - round(threshold, 6)) < 1e-7
+    found = [bits(run[i : i + window]) for i in range(len(run) - window + 1)]
+    assume(all(abs(x - threshold) > 1e-7 for x in found))
+    assert dense_windows(run, window, threshold) == merged([(i, i + window) for i, x in enumerate(found) if x >= threshold], touch=True)
+
+
+def merged(spans, touch=False):
+    out = []
+    for a, b in sorted(spans):
+        if out and (a <= out[-1][1] if touch else a < out[-1][1]):
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def plain_entropy(text, window=20):
+    """Every window of the whole text looked at by itself."""
+    quiet = [m.span() for p in ALLOWED for m in re.finditer(p, text)]
+    spans = []
+    for chars, least, words in (("0-9A-Fa-f", 2.9, False), ("A-Za-z0-9+/_-", 3.6, True)):
+        for m in re.finditer(f"[{chars}]{{20,}}" + "={0,2}" * words, text):
+            run, at = m.group(), m.start()
+            if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+                continue
+            low = run.lower()
+            past = 0 if any(w in low for w in PLACEHOLDERS) else min([low.find(w) for w in SEQUENCES if w in low], default=len(run))
+            odd = [True] * len(run)
+            for part in re.finditer("[^+/_=-]+", run) if words else ():
+                if re.fullmatch("(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]{0,4}|[0-9]{1,8}", part.group()):
+                    odd[part.start() : part.end()] = [False] * len(part.group())
+            dense = [(i, i + window) for i in range(len(run) - window + 1) if bits(run[i : i + window]) >= least - 1e-9 and 2 * sum(odd[i : i + window]) >= window]
+            for a, b in merged(dense, touch=True):
+                if a < past and not any(x <= at + a and at + b <= y for x, y in merged(quiet, touch=True)):
+                    spans.append((at + a, at + b))
+    return merged(spans)
+
+
+def test_whole_texts_against_every_window():
+    rng, s = random.Random(9), SecretScanner()
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab1", "abcdefghij/_-=", "0123456789"]
+    words = ["key=", "url/path/2024/notes/", "example", "sha256:", "getUserByName2", " ", "\n", "é", "=", "==", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "1234567890", "token: "]
+    seen = 0
+    for _ in range(120):
+        text = "".join(rng.choice(words) if rng.random() < 0.6 else "".join(rng.choices(rng.choice(alphabets), k=rng.choice([3, 15, 22, 40, 300]))) for _ in range(rng.randint(1, 14)))
+        got = s.entropy_spans(text)
+        assert [(a, b) for a, b, _ in got] == plain_entropy(text)
+        seen += len(got)
+    assert seen > 100
+
+
+def test_keyless_secrets_are_found_and_paths_are_not():
+    rng, s = random.Random(4), SecretScanner()
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for alphabet, k in (("0123456789abcdef", 24), ("0123456789ABCDEF", 31), (base64, 24), (base64, 40)):
+        secrets = ["".join(rng.choices(alphabet, k=k)) for _ in range(300)]
+        found = [s.scan(f"it reads {x} as seen") for x in secrets]
+        assert not any(base for base, _ in found)  # nothing that the fixed patterns know
+        assert sum(bool(spans) for _, spans in found) >= 291
+    for quiet in ("https://host.org/url/path/2024/notes/archive2/abcdef", "src/main/java/org/Example2Test/HttpServerFactory", "SOME_LONG_CONSTANT_NAME_2_WITH_PARTS", "my-very-long-branch-name-2024-11-26", "getUserByNameAndAddressFromTable2", "report_2024_11_26_final_version3"):
+        assert s.entropy_spans(quiet) == [], quiet
+    text = "key=" + "ab12cd34" * 2 + "0f9e8d7c6b5a"
+    assert s.entropy_spans(text) == [(4, 32, "entropy_hex")]  # the key is no part of the value
+
+
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "a1", "ab/"])
+def test_one_run_of_a_million(alphabet):
+    text = "".join(random.Random(1).choices(alphabet, k=1_000_000))
+    began = time.process_time()
+    spans = SecretScanner().scan(text + " example " + text[:1000])[1]
+    assert time.process_time() - began < 5
+    if len(alphabet) == 64:
+        assert sum(b - a for a, b, k in spans if k != "hex") > 900_000
 
 
 def plain_base(text):
