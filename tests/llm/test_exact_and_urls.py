@@ -1,10 +1,11 @@
+import dataclasses
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.common import skew_safe_lookup
-from quern.llm.exact_dedup import dedup_rows, directory, exact_dedup
+from quern.llm.exact_dedup import build_index, dedup_rows, digest, directory, exact_dedup, lookup, text_hash
 from quern.llm.url_filter import bloom_words, judge_urls, might_contain, rules_table
 
 from .helpers import awkward, corpus, documents
@@ -41,15 +42,59 @@ def test_dedup_rows_keeps_one_with_all_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14]  # 1, 2 and 12 are empty; 6 stands twice
 
 
-def test_directory_splits_until_buckets_fit(spark):
-    rows = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    slots, depth = directory(rows, 4000, bucket_rows=100)
+@pytest.mark.parametrize(("rows", "bits"), [(awkward(), 1), (corpus(), 5)])
+def test_chains_of_equal_hashes(spark, rows, bits):
+    docs = documents(spark, rows, extra=True)
+    got = exact_dedup(docs, bucket_rows=4, hash_bits=bits)
+    assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == plain(rows)
+    assert sorted(r["doc_id"] for r in dedup_rows(docs, bucket_rows=4, hash_bits=bits).collect()) == sorted({i: 0 for i, *_, kept, _ in plain(rows) if kept})
+    entries = build_index(docs, bucket_rows=4, hash_bits=bits).entries.collect()
+    texts = {t or "" for _, t, *_ in rows}
+    assert len(entries) == len(texts)
+    chains = {}
+    for e in entries:
+        chains.setdefault(e["h"], []).append(e["chain"])
+    assert len(chains) <= 2**bits and all(sorted(c) == list(range(len(c))) for c in chains.values())
+    assert bits > 5 or max(map(len, chains.values())) > 1
+
+
+def test_lookups_go_through_the_directory(spark):
+    rows = corpus()
+    docs = documents(spark, rows)
+    index = build_index(docs, bucket_rows=8)
+    probe = docs.select("doc_id", text_hash(docs["text"]).alias("h"), digest(docs["text"]).alias("text_sha256"))
+    assert lookup(probe, index).where("keep_id is null").count() == 0
+    gone = index.directory.orderBy("slot").first()["slot"]
+    torn = dataclasses.replace(index, directory=index.directory.where(F.col("slot") != gone))
+    lost = lookup(probe, torn).where("keep_id is null").select("h").collect()
+    assert lost and {(r["h"] % 2**64) >> (64 - index.depth) for r in lost} == {gone}
+    moved = dataclasses.replace(index, directory=index.directory.withColumn("bucket", F.col("bucket") + 1))
+    assert lookup(probe, moved).where("keep_id is not null").count() == 0
+    strange = documents(spark, [(1, "not in the index")])
+    found = lookup(strange.select("doc_id", text_hash(strange["text"]).alias("h"), digest(strange["text"]).alias("text_sha256")), index)
+    assert found.first()["keep_id"] is None
+
+
+def test_deep_directories_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("quern.llm.exact_dedup.BROADCAST_SLOTS", 2)
+    rows = corpus() + [(5000 + i, "hot") for i in range(200)]
+    got = exact_dedup(documents(spark, rows), bucket_rows=8)
+    assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == plain(rows)
+    assert sorted(r["doc_id"] for r in dedup_rows(documents(spark, rows), bucket_rows=8).collect()) == sorted(i for i, *_, kept, _ in plain(rows) if kept)
+
+
+def test_directory_doubles_until_buckets_fit(spark):
+    rows = spark.range(4000).select(F.xxhash64("id").alias("h"), F.lit(1).alias("group_size"))
+    slots, depth = directory(rows, 4000, bucket_rows=64)
+    assert depth > 6  # 64 slots of 62 entries on average: some hold more than 64
     held = rows.withColumn("slot", F.shiftrightunsigned("h", 64 - depth)).join(slots, "slot").groupBy("bucket", "local_depth").count().collect()
-    assert sum(r["count"] for r in held) == 4000 and max(r["count"] for r in held) <= 100
+    assert sum(r["count"] for r in held) == 4000 and max(r["count"] for r in held) <= 64
     assert min(r["local_depth"] for r in held) >= 5
-    uneven = rows.select(F.when(F.col("h") > 0, F.col("h") % 1000).otherwise(F.col("h")).alias("h"))  # half of the keys share their first bits
-    slots, _ = directory(uneven, 4000, bucket_rows=100)
-    assert slots.agg(F.max("local_depth") - F.min("local_depth")).first()[0] >= 3
+    uneven = rows.withColumn("h", F.when(F.col("h") > 0, F.shiftrightunsigned("h", 9)).otherwise(F.col("h")))  # half of the keys share their first bits
+    slots, depth = directory(uneven, 4000, bucket_rows=100)
+    assert depth >= 14 and slots.agg(F.max("local_depth") - F.min("local_depth")).first()[0] >= 3
+    same = rows.withColumn("h", F.lit(5).cast("long"))  # one chain, which no depth splits
+    assert directory(same, 4000, bucket_rows=100)[0].count() == 1
 
 
 def test_hot_key_lookup(spark):
