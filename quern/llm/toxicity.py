@@ -1,10 +1,13 @@
 """Toxicity by weak supervision: many voters, a generative model of their votes, a linear classifier.
 
-Voters are lexicon words, word beginnings and text patterns. Each votes toxic, clean or not at all.
-The label model treats a document's class as hidden and gives each voter a rate of each vote in each
-class; expectation maximisation estimates the rates. Voters that agree more than their classes
-explain are correlated, and each counts by one over its correlated company (estimated from triplets). The posterior labels
-then train a logistic classifier over the same and further features.
+Voters are lexicon terms (common insults, and words and word beginnings mined from the labelled
+sample), each once for a hit and once for several; text patterns; and a voter for clean, where hits are
+too few for the text's length. Each votes one way or not at all; the sample's own
+labels are one voter more, which may err like the others. The label model treats
+a document's class as hidden and gives each voter a rate of each vote in each class; expectation
+maximisation estimates the rates. Voters that agree more than their classes explain are correlated, and
+each counts by one over its correlated company (estimated from triplets). The posterior labels then
+train a logistic classifier over hits, their share of the text, patterns, and words beyond the lexicon.
 """
 
 from __future__ import annotations
@@ -23,16 +26,33 @@ from .quality import score_documents
 
 FOLDS, HELD_OUT = 5, 0
 LABEL = "toxic"
-#: Voters from the lexicon at most; a term's least odds ratio; chances of one term by luck among all.
+#: Common insults in four languages, which vote whatever the sample holds. Fixed values.
+SEEDS = (
+    "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "dimwit", "disgusting", "dumb", "dumbass", "dunce", "fool", "freak", "garbage", "halfwit", "idiot", "idiotic", "imbecile", "jackass", "jerk", "loser", "moron", "nitwit", "parasite", "pathetic", "pig", "prick", "scum", "scumbag", "shit", "slut", "stupid", "trash", "twat", "vermin", "wanker", "whore", "worthless",
+    "abschaum", "arschloch", "blödmann", "depp", "dreckskerl", "dummkopf", "hurensohn", "miststück", "schlampe", "schwachkopf", "trottel", "vollidiot", "wichser",
+    "abruti", "connard", "connasse", "débile", "enculé", "imbécile", "ordure", "pourriture", "salaud", "salope",
+    "basura", "cabrón", "estúpido", "gilipollas", "idiota", "imbécil", "pendejo", "puta",
+)
+#: Mined terms at most; a term's least odds ratio; chances of one term by luck among all.
 LEXICON = 240
-LEAST_ODDS = 50.0
-LUCK = 1e-3
+LEAST_ODDS = 12.0
+LUCK = 1e-1
+#: The least odds ratio of a pattern that votes.
+PATTERN_ODDS = 3.0
 #: Terms are chosen until each toxic document holds so many.
 COVER = 4
 #: Agreement beyond the classes from which on two voters are correlated.
 CORRELATED = 0.3
 #: Letters of a word's beginning.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Penalty of the classifier's weights.
+RIDGE = 2e-3
+#: Words beyond the lexicon that the classifier reads; in how many texts of the sample each stands at least.
+WIDER, WIDER_TEXTS = 96, 24
+#: So many words for each hit say clean.
+SPARSE = 150
+#: Share of toxic documents where the sample doesn't tell.
+PRIOR = 0.05
 WORD = re.compile(r"\w+")
 #: Patterns that vote, whatever words they hold: second-person frames, repeated punctuation, spelled-out words, masked words.
 PATTERNS = (
@@ -43,16 +63,13 @@ PATTERNS = (
 )
 #: Words for the reader.
 SECOND = frozenset(("you", "your", "yours", "yourself", "youre", "u", "ur"))
-#: Columns beside the lexicon: shares that only the classifier uses; voting patterns, shouting first; two hits, three hits, none.
-SHARES = 4
-VOTING = 1 + len(PATTERNS)
-BESIDE = SHARES + VOTING + 3
+#: Words whose terms a worker remembers.
+REMEMBERED = 100_000
 
 
-def terms_of(text: str) -> set[str]:
-    """Lower-case words, and their beginnings marked with a star."""
-    words = set(WORD.findall(text.lower()))
-    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
+def terms_of(word: str) -> list[str]:
+    """A lower-case word, and its beginnings marked with a star."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
 
 def without_copies(texts: list[str]) -> list[int]:
@@ -68,95 +85,161 @@ def without_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def mine_lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Terms much commoner in toxic documents, and not by luck, chosen greedily by evidence for documents that hold fewer than COVER chosen ones; of terms of the same documents the shortest."""
+class Terms:
+    """Counts of terms in texts, by a dictionary of words met before."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.at = {t: i for i, t in enumerate(terms)}
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        got = self._known.get(word)
+        if got is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            got = self._known[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+        return got
+
+    def counts(self, words: Counter) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for w, n in words.items():
+            for i in self.of(w):
+                out[i] = out.get(i, 0) + n
+        return out
+
+
+def _evidence(k: int, c: int, n: list[int], share: float) -> tuple[float, float]:
+    """Odds ratio of toxic documents among holders, and minus the logarithm of the chance (Chernoff's bound) that k of k + c holders are toxic."""
+    odds = (k + 0.5) / (n[1] + 1) / ((c + 0.5) / (n[0] + 1))
+    x = k / max(1, k + c)
+    luck = (k + c) * (x * np.log(x / share) + ((1 - x) * np.log((1 - x) / (1 - share)) if c else 0.0)) if x > share else 0.0
+    return odds, luck
+
+
+def mine_lexicon(texts: list[str], labels: np.ndarray) -> list[tuple[str, int]]:
+    """(term, hits) much commoner in toxic documents, and not by luck: a text holds the term that often or more. Chosen greedily by evidence for documents that hold fewer than COVER chosen ones."""
     kept = without_copies(texts)
     texts, labels = [texts[i] for i in kept], labels[kept]
     n = [int((labels == 0).sum()), int((labels == 1).sum())]
     if not all(n):
         return []
-    # texts are read again for each step: their terms together would take far more memory than the texts
-    toxic = Counter(t for text, y in zip(texts, labels, strict=True) if y == 1 for t in terms_of(text))
-    certain, share = np.log(len(toxic) / LUCK), n[1] / sum(n)
-    toxic = {t: k for t, k in toxic.items() if -k * np.log(share) >= certain}  # what a term of no clean document needs
-    clean = Counter(t for text, y in zip(texts, labels, strict=True) if y == 0 for t in terms_of(text) & toxic.keys())
-    odds = {t: (k + 0.5) / (n[1] + 1) / ((clean[t] + 0.5) / (n[0] + 1)) for t, k in toxic.items()}
-    holders: dict[str, list[int]] = {t: [] for t, x in odds.items() if x >= LEAST_ODDS and _luck(toxic[t], clean[t], share) >= certain}
-    for i, text in enumerate(texts):
-        for t in terms_of(text) & holders.keys():
-            holders[t].append(i)
-    shortest: dict[tuple[int, ...], str] = {}
-    for t in sorted(holders, key=lambda t: (len(t.rstrip("*")), t)):
-        shortest.setdefault(tuple(holders[t]), t)
-    # evidence: what the term says about a toxic document that holds it, by how many do
-    worth = {t: float(np.log(odds[t])) for t in shortest.values()}
-    covers = {t: [i for i in holders[t] if labels[i] == 1] for t in worth}
-    covered = Counter()
-    gain = [(-len(d) * worth[t], t) for t, d in covers.items()]
+    share = n[1] / sum(n)
+    words = [Counter(WORD.findall(t.lower())) for t in texts]
+    toxic = Counter(t for w, y in zip(words, labels, strict=True) if y == 1 for t in {t for x in w for t in terms_of(x)})
+    certain = np.log(max(1, sum(k >= 3 for k in toxic.values())) / LUCK)
+    found = Terms([t for t, k in toxic.items() if -k * np.log(share) >= certain])  # what a term of no clean document needs
+    names = list(found.at)
+    holders: list[dict[int, list[int]]] = [{}, {}]
+    for i, w in enumerate(words):
+        for t, k in found.counts(w).items():
+            for least in (1, 2)[:k]:
+                holders[least - 1].setdefault(t, []).append(i)
+    worth: dict[tuple[str, int], float] = {}
+    covers: dict[tuple[str, int], list[int]] = {}
+    for least, held in enumerate(holders, 1):
+        for t, docs in held.items():
+            hit = [i for i in docs if labels[i] == 1]
+            odds, luck = _evidence(len(hit), len(docs) - len(hit), n, share)
+            if odds >= LEAST_ODDS and luck >= certain:
+                worth[names[t], least], covers[names[t], least] = luck / max(1, len(hit)), hit
+    covered: Counter = Counter()
+    gain = [(-len(d) * worth[t], -len(t[0]), t) for t, d in covers.items()]  # of equal evidence the longest term, which fewest other words share
     heapq.heapify(gain)
-    chosen: list[str] = []
+    chosen: list[tuple[str, int]] = []
     while gain and len(chosen) < LEXICON:
-        _, t = heapq.heappop(gain)
+        old, size, t = heapq.heappop(gain)
         new = sum(1 for i in covers[t] if covered[i] < COVER)
-        nested = any(c[:-1] == t[: len(c) - 1] if c.endswith("*") else t.endswith("*") and c.startswith(t[:-1]) for c in chosen)
-        if not new or nested:  # a beginning speaks for what it begins, and gets no credit for a word that speaks for itself
+        if not new or any(_nested(t[0], c) for c, _ in chosen):
             continue
-        if gain and -new * worth[t] > gain[0][0]:
-            heapq.heappush(gain, (-new * worth[t], t))
+        if -new * worth[t] > old:
+            heapq.heappush(gain, (-new * worth[t], size, t))
             continue
         chosen.append(t)
         covered.update(covers[t])
     return chosen
 
 
-def _luck(k: int, c: int, share: float) -> float:
-    """Minus the logarithm of the chance (Chernoff's bound) that k of k + c holders are toxic."""
-    x = k / (k + c)
-    return (k + c) * (x * np.log(x / share) + ((1 - x) * np.log((1 - x) / (1 - share)) if c else 0.0)) if x > share else 0.0
+def _nested(a: str, b: str) -> bool:
+    """Whether every word of one term is a word of the other: evidence counts once."""
+    x, y = a.rstrip("*"), b.rstrip("*")
+    return a == b or a.endswith("*") and y.startswith(x) or b.endswith("*") and x.startswith(y)
 
 
 @dataclass
 class ToxicityModel:
-    lexicon: list[str]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    """mined: (term, hits) beside SEEDS; patterns: which of shouting and PATTERNS vote; wider: words beyond the lexicon that the classifier reads."""
+
+    mined: list[tuple[str, int]]
+    patterns: tuple[int, ...] = tuple(range(1 + len(PATTERNS)))
+    wider: list[str] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(0))
 
     def __post_init__(self) -> None:
-        self.at = {t: i for i, t in enumerate(self.lexicon)}
-
-    def present(self, text: str) -> np.ndarray:
-        """Which terms of the lexicon the text holds, then its patterns."""
-        at, written = self.at, set(WORD.findall(text))
-        words = {w.lower() for w in written}
-        hits = {at[w] for w in words if w in at}
-        for n in STEMS:
-            hits.update(at[s] for s in {f"{w[:n]}*" for w in words if len(w) > n} if s in at)
-        out = np.zeros(len(at) + BESIDE)
-        out[list(hits)] = 1
-        upper, n = sum(map(str.isupper, written)), max(1, len(written))
-        marks = text.count("!") + text.count("?")
-        shares = upper / n, marks / (marks + n), len(SECOND & words) / n, sum(map(str.isdigit, written)) / n
-        patterns = (p.search(text) is not None for p in PATTERNS)
-        out[-BESIDE:] = *shares, upper > 0.5 * len(written), *patterns, len(hits) >= 2, len(hits) >= 3, len(hits) == 0
-        return out
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([self.present(t or "") for t in texts]).reshape(len(texts), len(self.lexicon) + BESIDE)
+        self.lexicon = [*self.mined, *((w, 1) for w in SEEDS if not any(_nested(w, t) for t, _ in self.mined))]
+        self._terms = Terms(list(dict.fromkeys(t for t, _ in self.lexicon)))
+        self._wider = Terms(self.wider)
+        self._least = np.array([k for _, k in self.lexicon])
+        self._own = np.array([self._terms.at[t] for t, _ in self.lexicon])
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("mined", "patterns", "wider", "weights", "mean", "scale")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hits of each term of the lexicon; (words, shouting, each pattern); the shares and wider words that only the classifier reads."""
+        written = WORD.findall(text)
+        words = Counter(w.lower() for w in written)
+        n = max(1, len(written))
+        hits = np.zeros(len(self._terms.at))
+        for i, k in self._terms.counts(words).items():
+            hits[i] = k
+        hits = hits[self._own]
+        upper, marks = sum(map(str.isupper, written)), text.count("!") + text.count("?")
+        facts = np.array([len(written), upper > 0.5 * len(written), *(p.search(text) is not None for p in PATTERNS)], float)
+        more = np.zeros(4 + len(self.wider))
+        more[:4] = upper / n, marks / (marks + n), sum(words[w] for w in SECOND) / n, sum(map(str.isdigit, written)) / n
+        for i in self._wider.counts(words):
+            more[4 + i] = 1
+        return hits, facts, more
+
+    def votes(self, hits: np.ndarray, facts: np.ndarray) -> np.ndarray:
+        """1: toxic, 0: clean, -1: no vote, for rows of hits and facts. Voters that never vote are left out; the last one says that hits are sparse. What has no hit at all shows in the rates of not voting."""
+        held = hits >= self._least
+        total = np.where(held, hits, 0).sum(axis=1)
+        by_term = np.where(held, 1, -1)
+        shown = facts[:, [1 + k for k in self.patterns]] > 0
+        several = np.where(held.sum(axis=1) >= 2, 1, -1)
+        clean = (total > 0) & (facts[:, 0] >= SPARSE * total)
+        own = np.column_stack([by_term, np.where(shown, 1, -1), several])
+        return np.column_stack([own[:, (own >= 0).any(axis=0)], np.where(clean, 0, -1)])
+
+    def features(self, hits: np.ndarray, facts: np.ndarray, more: np.ndarray) -> np.ndarray:
+        held = hits >= self._least
+        total = np.where(held, hits, 0).sum(axis=1)
+        words = np.maximum(1, facts[:, 0])
+        kinds = held.sum(axis=1)
+        whole = np.column_stack([np.log1p(total), np.log1p(kinds), np.log1p(100 * total / words), kinds >= 1, kinds >= 2, kinds >= 3, np.log(words)])
+        return np.column_stack([held * np.log1p(hits), whole, facts[:, 1:], more])
+
+    def read_all(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        rows = [self.read(t or "") for t in texts]
+        widths = (len(self.lexicon), 2 + len(PATTERNS), 4 + len(self.wider))
+        return tuple(np.array([r[k] for r in rows], float).reshape(len(rows), w) for k, w in enumerate(widths))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.features(texts) - self.mean) / self.scale
+        hits, facts, more = self.read_all(texts)
+        if not len(self.weights):  # nothing was fitted: the share of toxic documents, and each hit on its own
+            held = (hits >= self._least).sum(axis=1)
+            return sigmoid(np.log(PRIOR / (1 - PRIOR)) + 2.5 * np.minimum(held, 3))
+        x = (self.features(hits, facts, more) - self.mean) / self.scale
         return sigmoid(np.column_stack([x, np.ones(len(x))]) @ self.weights)
 
 
-def votes_of(x: np.ndarray) -> np.ndarray:
-    """1: toxic, 0: clean, -1: no vote. Terms and patterns vote toxic, no term at all votes clean; the shares and the counts of hits only serve the classifier. Patterns that no text has are left out."""
-    voters = [*range(x.shape[1] - BESIDE), *(k for k in range(x.shape[1] - VOTING - 3, x.shape[1] - 3) if x[:, k].any())]
-    votes = np.where(x[:, [*voters, -1]] > 0, 1, -1)
-    votes[:, -1] = np.where(x[:, -1] > 0, 0, -1)
-    return votes
-
-
 def company_of(votes: np.ndarray) -> np.ndarray:
     """How much of each pair's agreement their common class doesn't explain (diagonal 1).
 
@@ -181,35 +264,61 @@ def company_of(votes: np.ndarray) -> np.ndarray:
     return left
 
 
-def label_model(votes: np.ndarray, rounds: int = 25, derived: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, rounds: int = 25, derived: int = 0, prior: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability of class 1, the voters' accuracies, and the voters' weights after their correlations.
 
     The last `derived` voters follow from others by rule; they keep their weight, and correlations
-    are those of the rest.
+    are those of the rest. prior: the share of class 1, where it is known; else it is estimated too.
     """
     is_vote = np.stack([votes == 1, votes == 0, votes == -1]).astype(np.float64)  # 3, n, m
     company = company_of(votes[:, : votes.shape[1] - derived])
     weight = np.concatenate([1.0 / np.where(company > CORRELATED, company, 0.0).sum(axis=1), np.ones(derived)])
-    q = np.clip(0.5 + 0.48 * np.sign(is_vote[0] @ weight - is_vote[1] @ weight), 0.02, 0.98)
+    lead = is_vote[0] @ weight - is_vote[1] @ weight
+    q = np.where(lead > 0, 0.98, np.where(lead < 0, 0.02, 0.5 if prior is None else min(0.5, prior)))
     for _ in range(rounds):
-        prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
+        share = float(np.clip(q.mean() if prior is None else prior, 1e-3, 1 - 1e-3))
         rate = [np.stack([(w @ is_vote[v] + 0.1) / (w.sum() + 0.3) for v in range(3)]) for w in (1 - q, q)]  # 3, m for each class
         logs = np.log(rate[1]) - np.log(rate[0])
-        q = sigmoid(np.log(prior / (1 - prior)) + sum(is_vote[v] @ (weight * logs[v]) for v in range(3)))
+        q = sigmoid(np.log(share / (1 - share)) + sum(is_vote[v] @ (weight * logs[v]) for v in range(3)))
     cast = np.maximum(1e-9, (votes >= 0).sum(axis=0))
     right = ((votes == 1) * q[:, None] + (votes == 0) * (1 - q[:, None])).sum(axis=0) / cast
     return q, right, weight
 
 
+def wider_words(texts: list[str], q: np.ndarray, lexicon: list[tuple[str, int]]) -> list[str]:
+    """The words of no term of the lexicon whose presence goes most with the posterior labels, either way."""
+    words = [set(WORD.findall(t.lower())) for t in texts]
+    held: Counter = Counter()
+    mass: Counter = Counter()
+    for w, x in zip(words, q, strict=True):
+        for t in w:
+            held[t] += 1
+            mass[t] += float(x)
+    base = float(q.mean())
+    own = {t for t, _ in lexicon}
+    score = {t: abs(mass[t] - k * base) / np.sqrt(k * base * (1 - base) + 1e-9) for t, k in held.items() if WIDER_TEXTS <= k <= len(texts) - WIDER_TEXTS and not any(x in own for x in terms_of(t))}
+    return sorted(sorted(score, key=lambda t: (-score[t], t))[:WIDER])
+
+
 def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """The labels choose the lexicon alone; the classifier's targets are the label model's posteriors."""
+    """The labels choose the mined terms and the patterns that vote, and vote themselves; the classifier's targets are the label model's posteriors."""
     model = ToxicityModel(mine_lexicon(texts, labels))
-    width = len(model.lexicon) + BESIDE
-    model.weights, model.mean, model.scale = np.zeros(width + 1), np.zeros(width), np.ones(width)
-    if texts and model.lexicon:
-        x = model.features(texts)
-        q, _, _ = label_model(votes_of(x), derived=1)
-        model.weights = fit_logistic(x, q, ridge=2e-4)
+    if not texts or not 0 < labels.sum() < len(labels):
+        return model
+    hits, facts, _ = model.read_all(texts)
+    n = [int((labels == 0).sum()), int((labels == 1).sum())]
+    shown = [(int(x[labels == 1].sum()), int(x[labels == 0].sum())) for x in facts[:, 1:].T]
+    model.patterns = tuple(k for k, (t, c) in enumerate(shown) if (e := _evidence(t, c, n, n[1] / sum(n)))[0] >= PATTERN_ODDS and e[1] >= np.log(len(shown) / LUCK))
+    if not (hits >= model._least).any():
+        return model
+    given = np.where(labels > 0, 1, 0)[:, None]
+    q, _, _ = label_model(np.column_stack([model.votes(hits, facts), given]), derived=2, prior=float(labels.mean()))
+    model.wider = wider_words(texts, q, model.lexicon)
+    model.__post_init__()
+    x = model.features(*model.read_all(texts))
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    x = (x - model.mean) / model.scale
+    model.weights = fit_logistic(x, q, ridge=RIDGE)
     return model
 
 
@@ -218,8 +327,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Fitted on a bounded sample of labelled rows outside the held-out fold (see labelled.py for the
     bound); every whole text is scored. A null text counts as empty: no term, so it is clean.
-    Repeated rows are scored each and equal texts equally. Where the labels give no lexicon every
-    score is 0.5. Other columns don't matter; an empty table gives an empty result.
+    Repeated rows are scored each and equal texts equally; a null id counts as held out. Where the
+    labels are of one class, or no term stands in the sample, the score is a low prior raised by each
+    hit of the common insults. Other columns don't matter; an empty table gives an empty result.
     """
     model = fit_toxicity(*labelled_sample(docs, labels, LABEL, FOLDS, HELD_OUT))
     return score_documents(docs, model, FOLDS, HELD_OUT)

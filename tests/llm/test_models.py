@@ -6,7 +6,7 @@ import pytest
 
 from quern.llm.labelled import fit_logistic, fold_of, labelled_sample, sigmoid
 from quern.llm.quality import fit_quality, good_rows, score_quality
-from quern.llm.toxicity import fit_toxicity, label_model, mine_lexicon, score_toxicity
+from quern.llm.toxicity import ToxicityModel, fit_toxicity, label_model, mine_lexicon, score_toxicity
 
 from .helpers import awkward, documents
 
@@ -68,7 +68,7 @@ def test_awkward_rows_and_labels(spark, tables, score):
     _, _, labels = tables
     none = labels.limit(0)
     got = score(documents(spark, awkward(), extra=True), none).collect()
-    assert len(got) == len(awkward()) and all(r["score"] == 0.5 for r in got)
+    assert len(got) == len(awkward()) and all(r["score"] == 0.5 if score is score_quality else r["score"] < 0.1 and not r["predicted"] for r in got)
     odd = spark.createDataFrame([(None, 1, 1), (4, None, None), (5, 1, 1), (5, 0, 0), (999, 1, 0)], labels.schema)
     assert score(documents(spark, awkward()), odd).count() == len(awkward())
     assert score(documents(spark, []), labels).count() == 0
@@ -93,10 +93,65 @@ def test_good_rows_keep_columns(tables):
 def test_lexicon_and_model():
     rows = labelled(600, 2)
     texts, y = [t for _, t, *_ in rows], np.array([t for *_, t in rows], float)
-    lexicon = mine_lexicon(texts, y)
+    lexicon = [t for t, _ in mine_lexicon(texts, y)]
     assert any(t.rstrip("*") and "grumbak".startswith(t.rstrip("*")) for t in lexicon) and any(t.startswith("wrox") for t in lexicon)
     assert fit_toxicity(texts, y).scores([None, "", "you grumbak and wroxxanother zorfle"])[2] > 0.9
-    assert fit_toxicity([], np.zeros(0)).scores(["x"])[0] == 0.5
+
+
+def test_nothing_to_mine_gives_a_low_prior():
+    plain = [" ".join(word(random.Random(i)) for _ in range(60)) for i in range(60)]
+    y = np.array([i % 10 == 0 for i in range(60)], float)  # labels that go with nothing
+    for model in (fit_toxicity([], np.zeros(0)), fit_toxicity(plain, np.zeros(60)), fit_toxicity(plain, y)):
+        none, one, more = model.scores(["a plain text", "a stupid text", "stupid idiot, you worthless moron"])
+        assert none < 0.2 and none <= one < more and more > 0.5
+        assert sum(s >= 0.5 for s in model.scores(plain)) <= 6
+
+
+def test_several_hits_say_what_one_does_not():
+    """Words with a toxic beginning stand once in clean texts too; only several of them speak, and only in short texts."""
+    rng = random.Random(8)
+    texts, y = [], []
+    for i in range(900):
+        toxic = rng.random() < 0.2
+        words = [word(rng) for _ in range(rng.randint(40, 120))]
+        for _ in range(rng.randint(3, 6) if toxic else rng.random() < 0.25):
+            words.insert(rng.randrange(len(words)), "zzorp" + word(rng))
+        if not toxic and i % 12 == 0:
+            words += [word(rng) for _ in range(1500)] + ["zzorp" + word(rng) for _ in range(2)]
+        texts.append(" ".join(words))
+        y.append(float(toxic))
+    y = np.array(y)
+    model = fit_toxicity(texts[:600], y[:600])
+    hits, facts, _ = model.read_all(texts[600:])
+    any_term = (hits >= model._least).any(axis=1)
+    predicted = model.scores(texts[600:]) >= 0.5
+    assert any(k == 2 for _, k in model.mined) and (predicted != any_term).any()
+    assert (predicted == y[600:]).mean() > (any_term == y[600:]).mean() + 0.04
+
+
+def whole_table(sf, label, folds, held):
+    """Texts and labels of the sample's fold and of the held-out fold, straight from the files."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = duckdb.sql(f"SELECT doc_id, text, {label} FROM '/root/testdata/{sf}/documents.parquet' JOIN '/root/testdata/{sf}/labels.parquet' USING (doc_id) WHERE {label} IS NOT NULL ORDER BY doc_id").fetchall()
+    out = [zlib.crc32(str(i).encode()) % folds == held for i, *_ in rows]
+    parts = [[r for r, o in zip(rows, out, strict=True) if o is side] for side in (False, True)]
+    return [x for rs in parts for x in ([t or "" for _, t, _ in rs], np.array([float(y) for *_, y in rs]))]
+
+
+def test_toxicity_of_the_held_out_fold():
+    texts, y, other, truth = whole_table("sf0.1", "toxic", 5, 0)
+    model = fit_toxicity(texts, y)
+    predicted = model.scores(other) >= 0.5
+    hits, _, _ = model.read_all(other)
+    any_term = (hits >= model._least).any(axis=1)
+    assert predicted[truth == 1].mean() >= 0.9 and truth[predicted].mean() >= 0.9
+    assert (predicted != any_term).any() and (predicted == truth).mean() > (any_term == truth).mean()
+
+
+def test_toxicity_of_the_smallest_table():
+    texts, y, other, truth = whole_table("sf0.001", "toxic", 5, 0)
+    predicted = fit_toxicity(texts, y).scores(other) >= 0.5
+    assert (predicted == truth).mean() > 0.9
 
 
 def test_label_model_recovers_accuracies_and_discounts_copies():
@@ -121,14 +176,16 @@ def test_logistic():
 
 
 def test_patterns_vote_and_tell_texts_without_terms_apart():
-    from quern.llm.toxicity import ToxicityModel, votes_of
-
     texts = ["YOU ARE HERE NOW", "you are such a one", "what!!! is this", "an i d i o t of sorts", "some f**k here", "a plain text", "i am a bee, you know"]
-    votes = votes_of(ToxicityModel(["grumbak"]).features(texts))
-    assert [list(v).count(1) for v in votes] == [1, 1, 1, 1, 1, 0, 0] and (votes[:, -1] == 0).all()
+    model = ToxicityModel([("grumbak", 1)])
+    hits, facts, _ = model.read_all(texts)
+    assert [int(f[1:].sum()) for f in facts] == [1, 1, 1, 1, 1, 0, 0] and not hits.any()
+    votes = model.votes(hits, facts)
+    assert [list(v).count(1) for v in votes] == [1, 1, 1, 1, 1, 0, 0]
     rows = labelled(600, 2)
     y = np.array([t for *_, t in rows], float)
     marked = [f"{t} what!!! f**k" if bad else t for (_, t, *_), bad in zip(rows, y, strict=True)]
     model = fit_toxicity(marked, y)
+    assert {2, 4} <= set(model.patterns)
     plain, pattern = model.scores(["a plain text of words", "a plain text!!! f**k"])
     assert pattern > plain
