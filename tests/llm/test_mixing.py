@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quern.llm.mixing import draw_rows, mix_sources, splitting_tree, targets
+from quern.llm.mixing import draw_rows, draws_of_shards, fill, leaves, mix_sources, plan_mix, targets
 
 from .helpers import WORD, awkward, documents
 
@@ -23,11 +24,16 @@ def test_targets(sizes):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=8), st.integers(1, 37), st.integers(0, 5))
 def test_splitting_tree(quotas, shards, seed):
-    t = splitting_tree(quotas, shards, seed)
+    found = list(leaves(quotas, shards, seed))
+    assert [k for k, _, _ in found] == list(range(shards))
+    t = np.array([have for _, _, have in found])
     assert (t >= 0).all() and list(t.sum(axis=0)) == quotas
     rows = t.sum(axis=1)
     assert rows.max() - rows.min() <= max(1, int(np.ceil(np.log2(shards + 1))))
-    assert (t == splitting_tree(quotas, shards, seed)).all()
+    assert (np.array([before for _, before, _ in found]) == np.cumsum(t, axis=0) - t).all()
+    part = list(leaves(quotas, shards, seed, shards // 3, shards // 3 + 2))  # a task that holds some of the shards sees what the others see
+    for k, before, have in part:
+        assert list(before) == list(found[k][1]) and list(have) == list(found[k][2])
 
 
 def many(n=900):
@@ -67,13 +73,87 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert a == mix_sources(docs.repartition(7), block_rows=16, shard_words=500).orderBy("doc_id").collect()
 
 
+@given(st.lists(st.integers(0, 400), max_size=30), st.floats(0, 3000))
+def test_fill_comes_near(sizes, need):
+    taken = fill(sizes, need)
+    assert len(set(taken)) == len(taken) and all(0 <= i < len(sizes) for i in taken)
+    left, total = need, 0
+    for n in sizes:  # never worse than taking what fits
+        if n <= left:
+            left -= n
+    assert abs(need - sum(sizes[i] for i in taken)) <= left + 1e-9
+    if sum(sizes) >= need and 1 in sizes and need >= 1:
+        assert abs(need - sum(sizes[i] for i in taken)) <= max(sizes)
+
+
+def test_a_hundred_thousand_shards(spark):
+    quotas = [150_000, 7, 90_000, 0, 60_001]
+    got = draws_of_shards(spark, np.array(quotas), 100_000).toPandas()
+    assert [int((got["s"] == i).sum()) for i in range(5)] == quotas
+    for i, q in enumerate(quotas):
+        assert sorted(got.loc[got["s"] == i, "draw"]) == list(range(q))
+    held = got.groupby("shard").size()
+    assert len(held) == 100_000 and held.max() - held.min() <= 17
+
+
+def test_small_tables_have_several_shards_and_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mix_sources(docs).withColumn("source", F.lit("")).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    taken, goal = {}, {}
+    for r in got:
+        taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["taken"]
+        goal[source[r["doc_id"]]] = r["target"]
+    assert len({d["shard"] for r in got for d in r["draws"]}) > 8
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] for s in goal), {s: (taken[s], goal[s]) for s in goal}
+    shards = {}
+    for r in got:
+        for d in r["draws"]:
+            shards.setdefault(d["shard"], set()).add(source[r["doc_id"]])
+    assert min(map(len, shards.values())) >= 3  # the tree gives each shard a share of many sources
+
+
 def test_drawn_rows(spark):
     docs = documents(spark, many(120), extra=True)
-    mix = mix_sources(docs, block_rows=8, shard_words=300)
-    out = draw_rows(docs, mix)
+    plan, _ = plan_mix(docs, block_rows=8, shard_words=300)
+    out = draw_rows(docs, plan)
     assert out.columns == [*docs.columns, "_shard"]
-    count = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert count == {r["doc_id"]: len(r["draws"]) for r in mix.collect() if r["draws"]}
+    rows = out.collect()
+    count = {}
+    for r in rows:
+        count[r["doc_id"], r["_shard"]] = count.get((r["doc_id"], r["_shard"]), 0) + 1
+    want = {}
+    for r in mix_sources(docs, block_rows=8, shard_words=300).collect():
+        for d in r["draws"]:
+            want[r["doc_id"], d["shard"]] = want.get((r["doc_id"], d["shard"]), 0) + 1
+    assert count == want
+    ids = [r["doc_id"] for r in rows if r["_shard"] == rows[0]["_shard"]]
+    assert len(ids) > 5 and ids != sorted(ids)  # shuffled within the shard
+
+
+def test_rows_of_one_id_get_their_own_draws(spark):
+    rows = [(7, " ".join([f"w{k}"] * (k % 13 + 1)), "a") for k in range(60)] + [(8, "same words here", "b")] * 40 + [(i, "x y z", None) for i in range(100, 140)]
+    docs = documents(spark, rows)
+    plan, _ = plan_mix(docs, block_rows=4)
+    drawn = {}
+    for r in draw_rows(docs, plan).collect():
+        drawn[r["doc_id"], r["text"]] = drawn.get((r["doc_id"], r["text"]), 0) + 1
+    words = {}
+    for r in mix_sources(docs, block_rows=4).collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["taken"]
+    got = {}
+    for (i, t), n in drawn.items():
+        got[i] = got.get(i, 0) + n * len(t.split())
+    assert got == {i: n for i, n in words.items() if n}
+    assert all(n <= 3 for (i, t), n in drawn.items() if i == 7) and drawn[8, "same words here"] <= 120
+
+
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    docs = documents(spark, many(300))
+    a = mix_sources(docs, block_rows=16, shard_words=500).orderBy("doc_id").collect()
+    monkeypatch.setattr("quern.llm.mixing.BROADCAST_SOURCES", 1)
+    monkeypatch.setattr("quern.llm.mixing.BROADCAST_BLOCKS", 1)
+    assert a == mix_sources(docs, block_rows=16, shard_words=500).orderBy("doc_id").collect()
 
 
 def test_awkward_rows(spark):
