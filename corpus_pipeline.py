@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import read_table, write_table
 from quern.llm.exact_dedup import dedup_rows
 from quern.llm.minhash import distinct_rows
-from quern.llm.mixing import draw_rows, mix_sources
+from quern.llm.mixing import draw_rows, plan_mix
 from quern.llm.packing import pack
 from quern.llm.quality import fit_on, good_rows
 from quern.llm.queries import tokenizer_path
@@ -34,8 +34,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it."""
-    return draw_rows(docs, mix_sources(docs), by_shard=False).drop("_shard")  # packing deals the rows anew
+    """Each document as often as the mix draws it, by shard, shuffled within it."""
+    plan, _ = plan_mix(docs)
+    return draw_rows(docs, plan).drop("_shard")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
