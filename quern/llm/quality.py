@@ -2,8 +2,8 @@
 
 One dictionary is trained on good labelled texts and one on bad. A text is compressed in blocks with
 each, so that it can't become its own dictionary, and the difference of the two sizes by their sum
-says which it is nearer to. A logistic calibration turns the difference, and how well the text
-compresses by itself, into a probability.
+says which it is nearer to. A logistic calibration turns the difference into a probability; beside it,
+only the length counts, as the difference of a short text says less than that of a long one.
 """
 
 from __future__ import annotations
@@ -60,15 +60,15 @@ class QualityModel:
     scale: np.ndarray
 
     def sizes(self, texts: list[str | None]) -> np.ndarray:
-        """(good, bad, alone, raw) bytes of each text."""
+        """(good, bad, raw) bytes of each text."""
         if not hasattr(self, "_tools"):
-            self._tools = (_compressor(self.good), _compressor(self.bad), zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False))
-        good, bad, alone = self._tools
-        out = np.zeros((len(texts), 4))
+            self._tools = (_compressor(self.good), _compressor(self.bad))
+        good, bad = self._tools
+        out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
             raw = (text or "").encode("utf-8", "surrogatepass")
             blocks = _blocks(raw)
-            out[i] = sum(len(good.compress(b)) for b in blocks), sum(len(bad.compress(b)) for b in blocks), len(alone.compress(raw)), len(raw)
+            out[i] = sum(len(good.compress(b)) for b in blocks), sum(len(bad.compress(b)) for b in blocks), len(raw)
         return out
 
     def __getstate__(self) -> dict:
@@ -80,14 +80,10 @@ class QualityModel:
 
 
 def calibration_inputs(sizes: np.ndarray) -> np.ndarray:
-    """The normalised difference; how well the text compresses by itself and with the better dictionary; squares and products."""
-    good, bad, alone, raw = sizes.T
-    d = (bad - good) / np.maximum(1, bad + good)
-    own = np.log((alone + 8) / (raw + 8))
-    best = np.log((np.minimum(good, bad) + 8) / (raw + 8))
-    length = np.log1p(raw)
-    base = [d, own, best, length]
-    return np.column_stack([*base, *(base[i] * base[j] for i in range(4) for j in range(i, 4))])
+    """The normalised difference and the logarithm of the length, their squares and their product."""
+    good, bad, raw = sizes.T
+    d, length = (bad - good) / np.maximum(1, bad + good), np.log1p(raw)
+    return np.column_stack([d, length, d * d, d * length, length * length])
 
 
 def fit_quality(texts: list[str], labels: np.ndarray) -> QualityModel:
@@ -95,7 +91,7 @@ def fit_quality(texts: list[str], labels: np.ndarray) -> QualityModel:
     half = np.arange(len(texts)) % 2 == 0
     good = train_dictionary([t for t, y, h in zip(texts, labels, half, strict=True) if h and y == 1])
     bad = train_dictionary([t for t, y, h in zip(texts, labels, half, strict=True) if h and y == 0])
-    model = QualityModel(good, bad, np.zeros(15), np.zeros(14), np.ones(14))
+    model = QualityModel(good, bad, np.zeros(6), np.zeros(5), np.ones(5))
     rest = [t for t, h in zip(texts, half, strict=True) if not h]
     if rest:
         x = calibration_inputs(model.sizes(rest))
@@ -140,13 +136,17 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of good quality), predicted.
 
     The model is fitted on a bounded sample of labelled rows outside the held-out fold (see
-    labelled.py for the bound); every whole text is scored. A null text counts as empty. Repeated
-    rows are scored each and equal texts equally. Without labels every score is 0.5. Other columns
-    don't matter; an empty table gives an empty result.
+    labelled.py for the bound); every whole text is scored, however long. A null text counts as empty.
+    Repeated rows are scored each and equal texts equally; a null id counts as not held out. Without
+    labels every score is 0.5. Other columns don't matter; an empty table gives an empty result.
     """
     return score_documents(docs, fit_on(docs, labels), FOLDS, HELD_OUT)
 
 
 def good_rows(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs that score at least `least`, with all their columns."""
+    """The rows of docs that score at least `least`, with all their columns.
+
+    A null text is scored as an empty one; repeated rows stay or go together; columns may have any
+    name; an empty table gives an empty result.
+    """
     return docs.where(score_column(docs, model) >= least)

@@ -138,6 +138,16 @@ def whole_table(sf, label, folds, held):
     return [x for rs in parts for x in ([t or "" for _, t, _ in rs], np.array([float(y) for *_, y in rs]))]
 
 
+def test_quality_of_the_held_out_fold():
+    texts, y, other, truth = whole_table("sf0.1", "quality", 3, 1)
+    model = fit_quality(texts, y)
+    predicted = model.scores(other) >= 0.5
+    assert (predicted == truth).mean() >= 0.97 and predicted[truth == 1].mean() >= 0.99
+    sizes = model.sizes(other)
+    alone = sizes[:, 1] > sizes[:, 0]  # the bare sign of the difference
+    assert (alone == truth).mean() > 0.9
+
+
 def test_toxicity_of_the_held_out_fold():
     texts, y, other, truth = whole_table("sf0.1", "toxic", 5, 0)
     model = fit_toxicity(texts, y)
