@@ -45,7 +45,7 @@ def with_texts(notices: dict[str, str]) -> dict[str, tuple[str, ...]]:
 
 #: Templates by license.
 TEMPLATES = with_texts(NOTICES)
-#: Share of a template's words that must be aligned; words that may stand between two words of one notice; cells of a plain alignment.
+#: Share of a template's words that must be aligned; foreign words that an end of a notice may reach over; cells of a plain alignment.
 COVERAGE = 0.8
 GAP = 6
 PLAIN_CELLS = 40_000
@@ -188,14 +188,17 @@ class Template:
         """Alignments that reach the coverage, by place and apart from each other, as pairs of places in words and template."""
         hits = [i for i, w in enumerate(words) if w in self.times]
         out, start = [], 0
+        far = max(2 * len(self.words), len(self.words) + GAP) - self.least + 1  # over a longer gap no window holds enough words
         for k in range(1, len(hits) + 1):
-            if k == len(hits) or hits[k] - hits[k - 1] > GAP:
+            if k == len(hits) or hits[k] - hits[k - 1] > far:
                 out += self._of_stretch(words, hits[start], hits[k - 1] + 1) if k - start >= self.least else []
                 start = k
         return out
 
     def _of_stretch(self, words: list[str], first: int, past: int) -> list[list[tuple[int, int]]]:
         n, found = len(self.words), []
+        if max(self._held(words, first, past, max(2 * n, n + GAP)), default=0) < self.least:
+            return []
         # narrow windows part copies that touch; wide ones find copies with words put in
         for width in (n, n + GAP, max(2 * n, n + GAP)):
             edges = [first, *(e for pairs in found for e in (pairs[0][0], pairs[-1][0] + 1)), past]
@@ -207,20 +210,26 @@ class Template:
         starts = [*(pairs[0][0] for pairs in found[1:]), past]
         return [self._grown(words, pairs, a, b) for pairs, a, b in zip(found, ends, starts, strict=False)]
 
-    def _windows(self, words: list[str], a: int, b: int, width: int) -> Iterator[list[tuple[int, int]]]:
-        n = len(self.words)
-        score, counts, held = [], Counter(), 0  # template words in the window from each place
-        end = a
+    def _held(self, words: list[str], a: int, b: int, width: int) -> list[int]:
+        """How many of the template's words, each counted as often as the template has it, the window from each place holds."""
+        times, counts = self.times, dict.fromkeys(self.times, 0)
+        out, held, end = [], 0, a
         for at in range(a, b):
             while end < min(at + width, b):
                 w = words[end]
-                counts[w] += 1
-                held += counts[w] <= self.times.get(w, 0)
+                if w in counts:
+                    counts[w] += 1
+                    held += counts[w] <= times[w]
                 end += 1
-            score.append(held)
+            out.append(held)
             w = words[at]
-            held -= counts[w] <= self.times.get(w, 0)
-            counts[w] -= 1
+            if w in counts:
+                held -= counts[w] <= times[w]
+                counts[w] -= 1
+        return out
+
+    def _windows(self, words: list[str], a: int, b: int, width: int) -> Iterator[list[tuple[int, int]]]:
+        score = self._held(words, a, b, width)
         at = a
         while at < b:
             if score[at - a] < self.least:
@@ -309,8 +318,9 @@ def scan_licenses(docs: DataFrame, scanner: LicenseScanner | None = None, id_col
 
     license and coverage are of the best notice (most aligned words, then the highest coverage, then
     the first listed), null and 0 without one. spans: license:start:end by start, comma-joined; code points, ends exclusive.
-    Null and empty texts have none. Whole texts are scanned whatever their length; repeated rows are
-    scanned each; other columns don't matter; an empty table gives an empty result.
+    Up to as many foreign words as a template has may stand inside its notice. Null and empty texts have
+    none. Whole texts are scanned whatever their length; repeated rows are scanned each, and equal texts
+    alike; other columns don't matter; an empty table gives an empty result.
     """
     scanner = scanner or LicenseScanner()
 

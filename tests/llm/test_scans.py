@@ -284,6 +284,64 @@ def test_whole_texts_and_headers(spark):
     assert LicenseScanner().notices(words_of(" ".join(text.split()[::-1]))) == []
 
 
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for w in a:
+        last, row = row, [0]
+        for j, v in enumerate(b):
+            row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_notices_against_every_window():
+    """A text has a notice of a template exactly when some window of twice its length holds enough of it in order; what is reported is a true alignment."""
+    rng = random.Random(6)
+    kinds = [[f"t{k}" for k in range(9)], ["a", "b", "a", "c", "d", "b", "e", "a", "f", "g"], [rng.choice("abcdefgh") for _ in range(16)], ["one", "two", "three"]]
+    seen = [0, 0]
+    for case in range(400):
+        template = kinds[case % len(kinds)]
+        s = LicenseScanner({"x": " ".join(template)})
+        least, width = s.templates[0].least, max(2 * len(template), len(template) + 6)
+        text = [rng.choice([*template, "z", "y"]) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 2)):
+            part = [w for w in template if rng.random() < rng.choice([0.7, 0.9, 1.0])]
+            at = rng.randint(0, len(part))
+            text += part[:at] + ["zz"] * rng.choice([0, 0, 1, 4, 9]) + part[at:] + [rng.choice("zyab")] * rng.randint(0, 5)
+        want = any(longest(text[i : i + width], template) >= least for i in range(len(text)))
+        found = s.notices(text)
+        assert bool(found) == want, (template, text)
+        seen[want] += 1
+        for x, y in zip(found, found[1:], strict=False):
+            assert x.past <= y.first
+        for x in found:
+            assert x.aligned >= least and x.aligned <= longest(text[x.first : x.past], template)
+    assert min(seen) > 60
+
+
+def test_inserted_paragraphs_and_long_texts():
+    s = LicenseScanner()
+    body = {t.license: t.words for t in s.templates if len(t.words) > 100}
+    rng = random.Random(3)
+    for name in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0"):
+        w, at = body[name], rng.randrange(20, len(body[name]) - 20)
+        found = s.notices(["before"] + w[:at] + [f"foreign{k}" for k in range(50)] + w[at:] + ["after"])
+        assert [(x.license, x.first, x.past) for x in found if x.aligned > 100] == [(name, 1, len(w) + 51)], name
+        assert found[0].coverage == 1.0
+    known = sorted({w for t in s.templates for w in t.words})
+    for words in ([rng.choice(known) for _ in range(100_000)], (body["MIT"] * 700)[:100_000], [f"w{rng.randrange(9000)}" for _ in range(100_000)]):
+        began = time.process_time()
+        s.notices(words)
+        assert time.process_time() - began < 2
+
+
+def test_licenses_of_awkward_rows(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = awkward() + [(50, notice), (50, notice), (51, "word " * 50_000 + notice), (52, None)]
+    got = [(r["doc_id"], r["license"], r["spans"]) for r in scan_licenses(documents(spark, rows, extra=True)).collect()]
+    assert len(got) == len(rows)
+    assert sorted(g for g in got if g[1]) == [(11, "Apache-2.0", "Apache-2.0:0:47"), (50, "Apache-2.0", "Apache-2.0:0:47"), (50, "Apache-2.0", "Apache-2.0:0:47"), (51, "Apache-2.0", "Apache-2.0:250000:250047")]
+
+
 def test_adjacent_copies_and_large_gaps():
     s = LicenseScanner()
     for notice, n in (("All rights reserved.", 3), ("Licensed under the Apache License, Version 2.0.", 7), ("Released under the MIT License.", 5)):
