@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds at least 1/HEAVY_PARTS of all rows, so at most HEAVY_PARTS keys can be heavy.
 HEAVY_PARTS = 1000
+#: Bytes of a batch of rows that goes to a Python worker, at most (one row may be larger).
+BATCH_BYTES = 8 << 20
+#: Rows of a file of a small table, about.
+FILE_ROWS = 25_000
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -19,24 +25,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or the one set on the context; a folder of our own only where neither is (tests)."""
+    """The folder named in spark.checkpoint.dir, or the one set on the context. Where neither is, a local master gets a folder of its own and a cluster an error: its machines would not see each other's files."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-shared-')}")
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema), with batches of BATCH_BYTES at most, which is set for the session where its bound is larger: a batch of long texts must not take a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key) or "", re.I)
+    if not now or int(now[1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: the lineage ends here, and a lost executor costs no recomputation."""
+def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: the lineage ends here, and a lost executor costs no recomputation. rows: about how many there are, where df is a small table that shuffling has spread over many partitions."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,26 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import drop_table, skew_safe_lookup, write_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable.
 
     Each round takes the least label among a node and its neighbours, then the label of that label;
-    the labels are written to the shared folder after each round, until none changes.
+    the labels are written to the shared folder after each round, until none changes. Hubs, and the
+    labels of large components, meet their many rows by skew-safe lookups.
     """
     both = write_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "cc-labels")
+    n_edges = both.count()
+    degrees = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree"))
+    labels = write_table(degrees.select("node", F.least("node", "least").alias("comp"), "degree"), "cc-labels", rows=n_edges)
+    n_nodes = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        up = labels.select(F.col("node").alias("up"), F.col("comp").alias("over"))
-        jumped = step.join(up, step["comp"] == up["up"], "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "old")
+        heard = skew_safe_lookup(both, labels.select(F.col("node").alias("b"), "comp", "degree"), ["b"], "degree", n_edges)
+        near = heard.groupBy("a").agg(F.min("comp").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", "degree", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        step = write_table(step, "cc-step", rows=n_nodes)
+        # a label is asked for by its own nodes at most
+        asked = step.groupBy("comp").agg(F.count(F.lit(1)).alias("asked"))
+        up = asked.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("over")), "comp")
+        jumped = skew_safe_lookup(step, up, ["comp"], "asked", n_nodes).select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "degree", "old")
         moved = Observation()  # counted while the labels are written: one query for each round
-        new = write_table(jumped.observe(moved, F.count(F.when(F.col("comp") != F.col("old"), True)).alias("n")).select("node", "comp"), "cc-labels")
+        new = write_table(jumped.observe(moved, F.count(F.when(F.col("comp") != F.col("old"), True)).alias("n")).select("node", "comp", "degree"), "cc-labels", rows=n_nodes)
         drop_table(labels)
+        drop_table(step)
         labels = new
         if not moved.get["n"]:
             drop_table(both)
-            return labels
+            return labels.select("node", "comp")
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, comp) with the components that edges (a, b) join made one. Nodes without a label are components of their own."""
+    own = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    across = edges.join(own, "a", "left").join(own.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
+    met = connected_components(across.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    met = write_table(met.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "cc-joined")
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("held"))
+    table = sizes.join(met, "comp", "left").select("comp", F.coalesce("whole", "comp").alias("whole"), "held")
+    moved = skew_safe_lookup(labels, table, ["comp"], "held", labels.count()).select("node", F.col("whole").alias("comp"))
+    new = met.join(own, met["comp"] == own["a"], "left_anti").select(F.col("comp").alias("node"), F.col("whole").alias("comp"))
+    return write_table(moved.union(new), "cc-labels")

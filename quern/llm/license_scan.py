@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Short notices looked for, by SPDX identifier where there is one. Fixed values.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -342,4 +344,4 @@ def scan_licenses(docs: DataFrame, scanner: LicenseScanner | None = None, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "license", "coverage", "n_notices", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, n_notices long, spans string")
+    return map_arrow(rows, scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, coverage double, n_notices long, spans string")

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, skew_safe_lookup, write_table
-from .components import connected_components
+from .common import drop_table, map_arrow, skew_safe_lookup, write_table
+from .components import connected_components, joined_components
 from .url_filter import bloom_words, might_contain
 
 #: Bands of rows; a pair at similarity 0.8 shares no band once in 8 million.
@@ -40,6 +40,9 @@ LEAST_ESTIMATE = 0.60
 #: Members of a confirmation block and of a comparison block, about.
 CONFIRM_ROWS = 64
 COMPARE_ROWS = 256
+#: Elements of the sets that are compared at once, on either side, about; words whose hashes a worker remembers.
+CHUNK_ELEMENTS = 500_000
+REMEMBERED = 65_536
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -50,7 +53,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -134,27 +137,39 @@ def _equal_lanes(a: str, b: str) -> Column:
     return F.lit(LANES) - total
 
 
-def _passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and estimate don't rule out."""
-    left = classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
+def _passing(pairs: DataFrame, n_pairs: int, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and estimate don't rule out. A pivot meets its many pairs by a skew-safe lookup."""
+    asked = pairs.groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("asked"))
+    left = classes.join(asked, "doc_id").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"), "asked")
     right = classes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = skew_safe_lookup(pairs, left, ["a"], "asked", n_pairs).join(right, "b")
     met = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     return met.where(estimate(_equal_lanes("pa", "pb")) >= LEAST_ESTIMATE).select("a", "b").distinct()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["id", "shingles"])
+
+
+def _set_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by a and block, a's own text before those of its candidates."""
+    """Rows come by a and block, a's own set before those of its candidates."""
     key, own = None, None
     for batch in batches:
         out = []
-        for a, block, candidate, b, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+        for a, block, candidate, b, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
             if not candidate:
                 if key != (a, block):
                     key, own = (a, block), []
-                own.append(shingle_set(text.as_py()))
+                own.append(_set_of(raw.as_py()))
             elif key == (a, block):
-                s = shingle_set(text.as_py())
+                s = _set_of(raw.as_py())
                 for x in own:
                     if 100 * min(len(s), len(x)) >= PERCENT * max(len(s), len(x)):
                         both = len(np.intersect1d(x, s, assume_unique=True))
@@ -165,16 +180,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], batch.schema.field(0).type), pa.array([p[1] for p in out], batch.schema.field(0).type)], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Each block of a's candidates gets a copy of a's text."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CONFIRM_ROWS).alias("blocks"))
-    dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Each block of a's candidates gets a copy of a's set."""
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    dealt = skew_safe_lookup(pairs, sizes, ["a"], "n", n_pairs).withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CONFIRM_ROWS)).cast("int"))
     asked = dealt.select("a", "block", F.lit(True).alias("candidate"), F.col("b").alias("id"))
     asked = asked.union(dealt.select("a", "block").distinct().select("a", "block", F.lit(False), F.col("a")))
-    rows = asked.join(texts, "id").select("a", "block", "candidate", F.col("id").alias("b"), "text")
+    rows = asked.join(sets, "id").select("a", "block", "candidate", F.col("id").alias("b"), "shingles")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "candidate")
     kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(_confirm, f"a {kind}, b {kind}").distinct()
+    return map_arrow(rows, _confirm, f"a {kind}, b {kind}").distinct()
 
 
 class _Forest:
@@ -195,8 +210,8 @@ class _Forest:
         return x != y
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, cls, comp) in pairs of blocks: ob, mb, member and those columns.
+def _dealt(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows (key, cls, comp), n_rows of them, in pairs of blocks: ob, mb, member and those columns.
 
     Within a key, the members outside its largest component are the outsiders. Each block of
     outsiders meets each block of all members, so every pair across components meets, and a row is
@@ -204,8 +219,8 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     """
     counts = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = main.select(key, "main", F.ceil(F.col("all") / COMPARE_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("all") - F.col("most")) / COMPARE_ROWS).cast("int").alias("out_blocks")).where("out_blocks > 0")
-    met = rows.join(main, key)
+    main = main.select(key, "main", F.ceil(F.col("all") / COMPARE_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("all") - F.col("most")) / COMPARE_ROWS).cast("int").alias("out_blocks"), "all").where("out_blocks > 0")
+    met = skew_safe_lookup(rows, main, [key], "all", n_rows).where("main is not null")
     spread = F.xxhash64("cls")
     outside = met.where("comp <> main").select(key, F.pmod(spread, F.col("out_blocks")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("mb"), F.lit(False).alias("member"), "cls", "comp")
     inside = met.select(key, F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("ob"), F.pmod(spread, F.col("all_blocks")).cast("int").alias("mb"), F.lit(True).alias("member"), "cls", "comp")
@@ -262,53 +277,78 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out.astype(np.int64)
 
 
-def _links_of_blocks(outsiders: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    if not outsiders or not members:
-        return []
-    both = intersections([x[2] for x in outsiders], [x[2] for x in members])
-    n_out, n_in = (np.array([len(x[2]) for x in side]) for side in (outsiders, members))
-    c_out, c_in = (np.array([x[1] for x in side]) for side in (outsiders, members))
-    linked = (100 * both >= PERCENT * (n_out[:, None] + n_in[None, :] - both)) & (c_out[:, None] != c_in[None, :])
-    forest = _Forest()
-    return [(outsiders[i][0], members[j][0]) for i, j in np.argwhere(linked) if forest.join(int(c_out[i]), int(c_in[j]))]
+def _chunks(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Runs of rows whose sets hold CHUNK_ELEMENTS at most (one set may hold more)."""
+    chunk, held = [], 0
+    for row in rows:
+        if chunk and held + len(row[2]) > CHUNK_ELEMENTS:
+            yield chunk
+            chunk, held = [], 0
+        chunk.append(row)
+        held += len(row[2])
+    if chunk:
+        yield chunk
 
 
-def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by family and pair of blocks, the outsiders first. Gives confirmed links across components, a spanning forest for each pair of blocks."""
-    key, outsiders, members = None, [], []
-    found: list[tuple[int, int]] = []
+def _links_of_blocks(outsiders: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], forest: _Forest) -> list[tuple[int, int]]:
+    links = []
+    for left in _chunks(outsiders):
+        both = intersections([x[2] for x in left], [x[2] for x in members])
+        n_out, n_in = (np.array([len(x[2]) for x in side]) for side in (left, members))
+        c_out, c_in = (np.array([x[1] for x in side]) for side in (left, members))
+        linked = (100 * both >= PERCENT * (n_out[:, None] + n_in[None, :] - both)) & (c_out[:, None] != c_in[None, :])
+        links += [(left[i][0], members[j][0]) for i, j in np.argwhere(linked) if forest.join(int(c_out[i]), int(c_in[j]))]
+    return links
 
-    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by family and pair of blocks, the outsiders first. Gives confirmed links across components, a spanning forest for each pair of blocks. Sets are compared in chunks of CHUNK_ELEMENTS."""
+    key, outsiders, members, held, forest = None, [], [], 0, _Forest()
+    found: list[tuple[int, int]] = []
     for batch in batches:
-        for *where, member, cls, comp, text in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
+        for *where, member, cls, comp, raw in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
             if where != key:
-                found += _links_of_blocks(outsiders, members)
-                key, outsiders, members = where, [], []
-            (members if member else outsiders).append((cls, comp, shingle_set(text.as_py())))
+                found += _links_of_blocks(outsiders, members, forest) if members else []
+                key, outsiders, members, held, forest = where, [], [], 0, _Forest()
+            row = (cls, comp, _set_of(raw.as_py()))
+            if not member:
+                outsiders.append(row)
+            elif outsiders:
+                if members and held + len(row[2]) > CHUNK_ELEMENTS:
+                    found += _links_of_blocks(outsiders, members, forest)
+                    members, held = [], 0
+                members.append(row)
+                held += len(row[2])
         if found:
-            yield batch_of(found)
+            yield _pairs_batch(found)
             found = []
-    if found := _links_of_blocks(outsiders, members):
-        yield batch_of(found)
+    if members and (found := _links_of_blocks(outsiders, members, forest)):
+        yield _pairs_batch(found)
+
 
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-def _across(live: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+
+def _across(live: DataFrame, n_live: int, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components whose members share a bucket.
 
     Components with a pair in one bucket that the estimate can't rule out form a family; families are
-    compared whole on full sets, outsiders with members, in blocks.
+    compared on full sets, outsiders with members, in blocks.
     """
     known = live.where("members > 2").join(labels, live["cls"] == labels["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    signed = _dealt(known, "key").join(classes.select(F.col("doc_id").alias("cls"), "n", "packed"), "cls").select("key", "ob", "mb", "member", "cls", "comp", "n", "packed")
+    signed = _dealt(known, "key", n_live).join(classes.select(F.col("doc_id").alias("cls"), "n", "packed"), "cls").select("key", "ob", "mb", "member", "cls", "comp", "n", "packed")
     signed = signed.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "member")
-    near = write_table(signed.mapInArrow(_near_components, "a long, b long").distinct(), "minhash-near")
+    near = write_table(map_arrow(signed, _near_components, "a long, b long").distinct(), "minhash-near")
     families = connected_components(near).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
     rows = live.select("cls").distinct().join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")).join(families, "comp").select("family", "cls", "comp")
-    full = _dealt(rows, "family").join(texts, F.col("cls") == F.col("id")).select("family", "ob", "mb", "member", "cls", "comp", "text")
+    rows = write_table(rows, "minhash-families")
+    full = _dealt(rows, "family", rows.count()).join(sets, F.col("cls") == F.col("id")).select("family", "ob", "mb", "member", "cls", "comp", "shingles")
     full = full.repartition("family", "ob", "mb").sortWithinPartitions("family", "ob", "mb", "member")
-    return full.mapInArrow(_exact_links, "a long, b long").distinct()
+    more = write_table(map_arrow(full, _exact_links, "a long, b long").distinct(), "minhash-across")
+    for done in (near, families, rows):
+        drop_table(done)
+    return more
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,29 +361,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are integers. Other columns don't matter; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_table(rows.mapInArrow(_signatures, "doc_id long, n long, print binary, bands array<long>, packed array<long>"), "minhash-signatures")
+    signed = write_table(map_arrow(rows, _signatures, "doc_id long, n long, print binary, bands array<long>, packed array<long>"), "minhash-signatures")
     groups = write_table(signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
     reps = groups.select("print", F.col("rep").alias("doc_id"))
     classes = write_table(signed.join(reps, ["print", "doc_id"], "left_semi").select("doc_id", "n", "bands", "packed"), "minhash-reps")
 
     banded = classes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("cls"))
     buckets = banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    live = write_table(banded.join(buckets, "key"), "minhash-live")
-    stars = live.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    first = write_table(_passing(stars, classes), "minhash-pairs")
+    live = write_table(skew_safe_lookup(banded, buckets, ["key"], "members", classes.count() * BANDS).where("pivot is not null"), "minhash-live")
+    stars = write_table(live.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "minhash-stars")
+    first = write_table(_passing(stars, stars.count(), classes), "minhash-pairs")
 
     wanted = live.select("cls").distinct()
     facts = wanted.agg(F.count(F.lit(1)).alias("n")).first()
     bloom, blocks = bloom_words(wanted.select(F.col("cls").cast("string").alias("key")), facts["n"])
     near = rows.withColumn("_words", bloom.scalar()).where(might_contain(F.col("_words"), F.col("doc_id").cast("string"), blocks)).drop("_words")
-    texts = write_table(near.join(wanted, near["doc_id"] == wanted["cls"], "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash-texts")
+    near = near.join(wanted, near["doc_id"] == wanted["cls"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+    sets = write_table(map_arrow(near, _sets, "id long, shingles binary"), "minhash-sets")
 
-    links = write_table(_confirmed(first, texts), "minhash-links")
+    links = write_table(_confirmed(first, first.count(), sets), "minhash-links")
     labels = connected_components(links)
-    more = write_table(_across(live, labels, classes, texts), "minhash-across")
+    more = _across(live, live.count(), labels, classes, sets)
     if not more.isEmpty():
-        labels = connected_components(links.union(more))
-    for done in (classes, live, first, texts, links, more):
+        labels = joined_components(labels, more)
+    for done in (classes, live, stars, first, sets, links, more):
         drop_table(done)
     table = groups.join(labels, groups["rep"] == labels["node"], "left").select("print", F.coalesce("comp", "rep").alias("component_id"), "copies")
     total = signed.count()
@@ -354,6 +395,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: the document with the smallest id of each group."""
+    """The rows of docs that stay, with all their columns: the document with the smallest id of each group.
+
+    Null, empty and long texts, null ids, repeated rows and empty tables are as in near_duplicates(); a
+    row with a null id stays. Columns may have any name.
+    """
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_q_gone")).where("_q_gone is not null").distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["_q_gone"], "left_anti")

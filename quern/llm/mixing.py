@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, skew_safe_lookup, write_table
+from .common import WORD_PATTERN, map_arrow, skew_safe_lookup, write_table
 
 #: A source of n rows has ROOT_BLOCKS * sqrt(n) blocks; a mix of w words has sqrt(w / ROOT_WORDS) shards.
 ROOT_BLOCKS = 2.0
@@ -236,7 +236,7 @@ def draws_of_shards(spark, quotas: np.ndarray, shards: int, seed: int = 0) -> Da
             if held:
                 yield _columns(s, draw, shard)
 
-    return spark.range(0, shards, 1, tasks).mapInArrow(walk, "s int, draw long, shard int")
+    return map_arrow(spark.range(0, shards, 1, tasks), walk, "s int, draw long, shard int")
 
 
 def _columns(*parts: list[np.ndarray]) -> pa.RecordBatch:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Fixed values of the format: capture pattern, page header, flags; and our codec's magic.
 CAPTURE = b"OggS"
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -200,7 +202,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(store, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media)
+    return map_arrow(rows, store, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media)
 
 
 def read_media(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -216,4 +218,4 @@ def read_media(files: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "serial", "packet", "second", "data", "bad"])
 
     rows = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, serial long, packet long, second double, data binary, bad long")
+    return map_arrow(rows, read, f"id {rows.schema['id'].dataType.simpleString()}, serial long, packet long, second double, data binary, bad long")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import map_arrow, write_table
 
 CAPACITY = 1024
 #: Written after each document.
@@ -114,7 +114,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long")
+    return map_arrow(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 class RoomTree:
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     ranked = pieces.join(cells.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     table = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)  # a few runs for each pair of lengths at most, whatever the corpus
-    return ranked.mapInArrow(_placer(shared), f"doc_id {ranked.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, _placer(shared), f"doc_id {ranked.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _placer(shared):

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .labelled import fit_logistic, fold_of, labelled_sample, sigmoid
 
 #: Bytes of a dictionary and of a block; zstandard's level; blocks of training text for a dictionary at most.
@@ -129,7 +130,7 @@ def score_documents(docs: DataFrame, model, folds: int, held_out: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
