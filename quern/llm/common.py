@@ -89,7 +89,8 @@ def skew_safe_lookup(probe: DataFrame, table: DataFrame, keys: list[str], weight
     value_cols = [c for c in table.columns if c not in keys]
     heavy, light = heavy_split(table, weight, total)
     heavy = heavy.select(*keys, F.struct(*value_cols).alias("_hv"))
-    light = light.select(*keys, F.lit(0).alias("_mark"), F.struct(*value_cols).alias("_lv"))
+    # zero, but not as a constant: the optimiser would take that out of the join's keys, and the heavy keys would meet in one task
+    light = light.select(*keys, F.pmod(F.col(weight).cast("int"), F.lit(1)).alias("_mark"), F.struct(*value_cols).alias("_lv"))
     out = probe.join(F.broadcast(heavy), keys, "left")
     rest = [c for c in probe.columns if c not in keys]
     spread = F.xxhash64(*[F.col(c) for c in (rest or keys)])

@@ -147,29 +147,18 @@ def _passing(pairs: DataFrame, n_pairs: int, classes: DataFrame) -> DataFrame:
     return met.where(estimate(_equal_lanes("pa", "pb")) >= LEAST_ESTIMATE).select("a", "b").distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["id", "shingles"])
-
-
-def _set_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
-
-
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by a and block, a's own set before those of its candidates."""
+    """Rows come by a and block, a's own text before those of its candidates."""
     key, own = None, None
     for batch in batches:
         out = []
-        for a, block, candidate, b, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+        for a, block, candidate, b, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
             if not candidate:
                 if key != (a, block):
                     key, own = (a, block), []
-                own.append(_set_of(raw.as_py()))
+                own.append(shingle_set(text.as_py()))
             elif key == (a, block):
-                s = _set_of(raw.as_py())
+                s = shingle_set(text.as_py())
                 for x in own:
                     if 100 * min(len(s), len(x)) >= PERCENT * max(len(s), len(x)):
                         both = len(np.intersect1d(x, s, assume_unique=True))
@@ -180,13 +169,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], batch.schema.field(0).type), pa.array([p[1] for p in out], batch.schema.field(0).type)], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Each block of a's candidates gets a copy of a's set."""
+def _confirmed(pairs: DataFrame, n_pairs: int, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Each block of a's candidates gets a copy of a's text."""
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     dealt = skew_safe_lookup(pairs, sizes, ["a"], "n", n_pairs).withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CONFIRM_ROWS)).cast("int"))
     asked = dealt.select("a", "block", F.lit(True).alias("candidate"), F.col("b").alias("id"))
     asked = asked.union(dealt.select("a", "block").distinct().select("a", "block", F.lit(False), F.col("a")))
-    rows = asked.join(sets, "id").select("a", "block", "candidate", F.col("id").alias("b"), "shingles")
+    rows = asked.join(texts, "id").select("a", "block", "candidate", F.col("id").alias("b"), "text")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "candidate")
     kind = pairs.schema["a"].dataType.simpleString()
     return map_arrow(rows, _confirm, f"a {kind}, b {kind}").distinct()
@@ -306,11 +295,11 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, outsiders, members, held, forest = None, [], [], 0, _Forest()
     found: list[tuple[int, int]] = []
     for batch in batches:
-        for *where, member, cls, comp, raw in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
+        for *where, member, cls, comp, text in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
             if where != key:
                 found += _links_of_blocks(outsiders, members, forest) if members else []
                 key, outsiders, members, held, forest = where, [], [], 0, _Forest()
-            row = (cls, comp, _set_of(raw.as_py()))
+            row = (cls, comp, shingle_set(text.as_py()))
             if not member:
                 outsiders.append(row)
             elif outsiders:
@@ -330,7 +319,7 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def _across(live: DataFrame, n_live: int, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(live: DataFrame, n_live: int, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components whose members share a bucket.
 
     Components with a pair in one bucket that the estimate can't rule out form a family; families are
@@ -343,7 +332,7 @@ def _across(live: DataFrame, n_live: int, labels: DataFrame, classes: DataFrame,
     families = connected_components(near).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
     rows = live.select("cls").distinct().join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")).join(families, "comp").select("family", "cls", "comp")
     rows = write_table(rows, "minhash-families")
-    full = _dealt(rows, "family", rows.count()).join(sets, F.col("cls") == F.col("id")).select("family", "ob", "mb", "member", "cls", "comp", "shingles")
+    full = _dealt(rows, "family", rows.count()).join(texts, F.col("cls") == F.col("id")).select("family", "ob", "mb", "member", "cls", "comp", "text")
     full = full.repartition("family", "ob", "mb").sortWithinPartitions("family", "ob", "mb", "member")
     more = write_table(map_arrow(full, _exact_links, "a long, b long").distinct(), "minhash-across")
     for done in (near, families, rows):
@@ -376,15 +365,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = wanted.agg(F.count(F.lit(1)).alias("n")).first()
     bloom, blocks = bloom_words(wanted.select(F.col("cls").cast("string").alias("key")), facts["n"])
     near = rows.withColumn("_words", bloom.scalar()).where(might_contain(F.col("_words"), F.col("doc_id").cast("string"), blocks)).drop("_words")
-    near = near.join(wanted, near["doc_id"] == wanted["cls"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = write_table(map_arrow(near, _sets, "id long, shingles binary"), "minhash-sets")
+    texts = write_table(near.join(wanted, near["doc_id"] == wanted["cls"], "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash-texts")
 
-    links = write_table(_confirmed(first, first.count(), sets), "minhash-links")
+    links = write_table(_confirmed(first, first.count(), texts), "minhash-links")
     labels = connected_components(links)
-    more = _across(live, live.count(), labels, classes, sets)
+    more = _across(live, live.count(), labels, classes, texts)
     if not more.isEmpty():
         labels = joined_components(labels, more)
-    for done in (classes, live, stars, first, sets, links, more):
+    for done in (classes, live, stars, first, texts, links, more):
         drop_table(done)
     table = groups.join(labels, groups["rep"] == labels["node"], "left").select("print", F.coalesce("comp", "rep").alias("component_id"), "copies")
     total = signed.count()

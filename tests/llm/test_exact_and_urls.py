@@ -1,5 +1,6 @@
 import dataclasses
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,12 @@ def test_hot_key_lookup(spark):
     sizes = probe.groupBy("k").count().select("k", F.col("count").alias("n"), (F.col("k") * 2).alias("v")).where("k <> 101")
     got = skew_safe_lookup(probe, sizes, ["k"], "n", 3000)
     assert got.where("v is null").count() == 1 and got.where("v <> k * 2").count() == 0 and got.count() == 3000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew_safe_lookup(probe, sizes, ["k"], "n", 3000).where("v is not null")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"SortMergeJoin \[k#\d+L?, _mark#\d+", plan)  # rows of heavy keys are spread by the marker
 
 
 URLS = ["http://Example.com/en/x?y#z", "https://www.example.com/en/", "http://a.b.example.com/en/x", "http://notexample.com/en/x", "http://x.net/es/1", "http://x.net/ES/1", "http://net/fr/", "http://x.org/", "no url", None, "http://example.com", "http://example.com?x=/en/", "ftp://a.com:80/#q", "://com/", "http:///en/", "http://x.net//es/", "http://a://b.com/en/"]
