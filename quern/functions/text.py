@@ -14,7 +14,6 @@ NO_BYTECODE = "# [WARNING] No bytecode text is available for this class."
 MAX_CONTENT = 200_000
 TRUNCATED = "\n[TRUNCATED: content too long; ask for a range of lines to read the rest.]"
 #: Manifest patterns. Fixed values.
-MANIFEST_PACKAGE = r'<manifest[^>]+package\s*=\s*"([^"]+)"'
 LOOSE_PACKAGE = r'package\s*=\s*"([^"]+)"'
 COMPONENT_NAME = r'android:name\s*=\s*"([^"]+)"'
 MAIN_ACTION = "android.intent.action.MAIN"
@@ -106,9 +105,14 @@ def bytecode(smali: Column, missing: str = NO_BYTECODE) -> Column:
     return F.when(F.btrim(F.coalesce(smali, F.lit("")), F.lit(_LOW)) == "", F.lit(missing)).otherwise(smali)
 
 
+def tag_attribute(xml: Column, tag: str, attribute: str) -> Column:
+    """The first value of an attribute within a tag, empty where there is none."""
+    return F.regexp_extract(xml, rf'<{re.escape(tag)}[^>]+{re.escape(attribute)}\s*=\s*"([^"]+)"', 1)
+
+
 def manifest_package(xml: Column, loose: bool = False) -> Column:
     """The package attribute, empty where there is none."""
-    return F.regexp_extract(xml, LOOSE_PACKAGE if loose else MANIFEST_PACKAGE, 1)
+    return F.regexp_extract(xml, LOOSE_PACKAGE, 1) if loose else tag_attribute(xml, "manifest", "package")
 
 
 def component_name(name: Column, package: Column) -> Column:
@@ -125,20 +129,26 @@ def is_launcher(block: Column) -> Column:
     return block.contains(MAIN_ACTION) & block.contains(LAUNCHER_CATEGORY)
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text at any line break; empty ones at its end are dropped."""
-    body = F.regexp_replace(text, r"\R+\z", "")
-    return F.when((body == "") & (text != ""), F.array().cast("array<string>")).otherwise(F.split(body, r"\R"))
-
-
 def line_slice(text: Column, start: Column | int, end: Column | int) -> Column:
-    """A header, then lines start to end, each ended by a line feed. A null text gives an empty string."""
-    lines = lines_of(text)
-    total = F.size(lines)
+    """A header, then lines start to end, each ended by a line feed. A null text gives an empty string.
+
+    Lines end at any line break, and empty ones at the text's end are dropped. The text is split
+    once: lambdas bind the lines, and then their number, to a name.
+    """
     first = F.greatest(F.lit(start) if isinstance(start, int) else start, F.lit(1))
-    last = F.least(F.lit(end) if isinstance(end, int) else end, total)
-    body = F.when(last >= first, F.array_join(F.transform(F.slice(lines, first, last - first + 1), lambda x: F.concat(x, F.lit("\n"))), "")).otherwise(F.lit(""))
-    return F.when(text.isNull(), F.lit("")).otherwise(F.concat(F.lit("// Lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit("/"), total.cast("string"), F.lit("\n\n"), body))
+    bound = F.lit(end) if isinstance(end, int) else end
+
+    def counted(lines: Column) -> Column:
+        full = F.array_max(F.transform(lines, lambda x, i: F.when(x != "", i + 1).otherwise(F.lit(0))))
+        return F.struct(lines.alias("lines"), F.when(F.size(lines) == 1, F.lit(1)).otherwise(full).alias("total"))
+
+    def sliced(x: Column) -> Column:
+        last = F.least(bound, x["total"])
+        body = F.when(last >= first, F.array_join(F.transform(F.slice(x["lines"], first, last - first + 1), lambda line: F.concat(line, F.lit("\n"))), "")).otherwise(F.lit(""))
+        return F.concat(F.lit("// Lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit("/"), x["total"].cast("string"), F.lit("\n\n"), body)
+
+    found = F.transform(F.transform(F.array(F.split(text, r"\R")), counted), sliced)
+    return F.coalesce(found[0], F.lit(""))
 
 
 def truncated(text: Column, limit: int = MAX_CONTENT, notice: str = TRUNCATED) -> Column:

@@ -61,5 +61,5 @@ def signature_hints(scan: DataFrame) -> DataFrame:
 
 def list_resources(resources: DataFrame, keyword: str | None = None) -> DataFrame:
     """R20 without its page: res_ord, name. An empty result is not found; the facade says so."""
-    named = resources.where(F.coalesce(F.btrim("deobf_name"), F.lit("")) != "")
+    named = resources.where(F.regexp_like("deobf_name", F.lit(r"\P{javaWhitespace}")))
     return named.where(keyword_in(F.lower("deobf_name"), keyword)).select("res_ord", F.col("deobf_name").alias("name"))

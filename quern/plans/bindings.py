@@ -19,9 +19,11 @@ from ..operators import resources as rs
 from ..operators import search as se
 from ..operators import structure as st
 from ..operators import xrefs as xr
-from ..sources.catalog import Catalog, resource_text
+from ..sources.catalog import Catalog, resource_text, with_lowered
+from ..sources.results import result_folder
 from ..sources.sinks import as_json
 from .engine import Engine
+from .tasks import TaskManager
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,26 +144,14 @@ def resource_list_page(spark, d):  # R07, R20
 # members ---------------------------------------------------------------------------------------
 
 
-@bound("methods_of_class", "SELECT o_custkey AS class_ord, CAST(o_orderkey AS INTEGER) AS method_ord, o_orderpriority AS name FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+@bound("methods_of_class", "SELECT o_custkey AS class_ord, CAST(o_orderkey AS INTEGER) AS method_ord, o_orderpriority AS name FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 def methods_of_class(spark, d):  # R04, R36
-    some = read(spark, d, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("class_ord"))
-    return Catalog.of(spark, classes=some, methods=order_methods(spark, d)).methods_of(some).select("class_ord", "method_ord", "name")
-
-
-@bound("methods_of_classes", "SELECT o_custkey AS class_ord, CAST(o_orderkey AS INTEGER) AS method_ord, o_orderpriority AS name FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
-def methods_of_classes(spark, d):  # R04, R36, of all classes
     classes = customer_classes(spark, d)
     return Catalog.of(spark, classes=classes, methods=order_methods(spark, d)).methods_of(classes).select("class_ord", "method_ord", "name")
 
 
-@bound("fields_of_class", "SELECT l_orderkey AS class_ord, l_linenumber AS field_ord, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@bound("fields_of_class", "SELECT l_orderkey AS class_ord, l_linenumber AS field_ord, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def fields_of_class(spark, d):  # R05
-    some = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("class_ord"))
-    return Catalog.of(spark, classes=some, fields=line_fields(spark, d)).fields_of(some)
-
-
-@bound("fields_of_classes", "SELECT l_orderkey AS class_ord, l_linenumber AS field_ord, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
-def fields_of_classes(spark, d):  # R05, of all classes
     classes = read(spark, d, "orders").select(F.col("o_orderkey").alias("class_ord"))
     return Catalog.of(spark, classes=classes, fields=line_fields(spark, d)).fields_of(classes)
 
@@ -182,14 +172,18 @@ def variable_match(spark, d):  # R59
     return rn.matching_variables(rows, 3, 0, "user", reg=0).select("class_ord", "reg", "name")
 
 
-@bound("class_structure", "SELECT o_orderkey AS class_ord, o_orderstatus AS class_name, coalesce(nullif(o_orderpriority, '5-LOW'), 'java.lang.Object') AS super_class, string_agg(l_returnflag || ' ' || l_partkey, ';' ORDER BY l_linenumber, l_returnflag || ' ' || l_partkey) AS fields FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+@bound("class_structure", """
+    WITH f AS (SELECT l_orderkey, string_agg(l_returnflag || ' ' || l_partkey, ';' ORDER BY l_linenumber, l_returnflag || ' ' || l_partkey) AS fields FROM lineitem GROUP BY 1),
+         m AS (SELECT o_custkey, string_agg(o_orderpriority || '(I)' || o_orderstatus, ';' ORDER BY o_orderkey) AS methods FROM orders GROUP BY 1)
+    SELECT o_orderkey AS class_ord, o_orderstatus AS class_name, coalesce(nullif(o_orderpriority, '5-LOW'), 'java.lang.Object') AS super_class,
+           CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'I' || o_orderstatus || ';J' END AS implements, coalesce(fields, '') AS fields, coalesce(methods, '') AS methods
+    FROM orders o LEFT JOIN f ON o.o_orderkey = l_orderkey LEFT JOIN m ON m.o_custkey = o.o_orderkey
+""")
 def class_structure(spark, d):  # R31
-    orders = read(spark, d, "orders")
-    fields = line_fields(spark, d)
-    classes = orders.join(fields.select("class_ord").distinct(), orders["o_orderkey"] == F.col("class_ord"), "left_semi")
-    classes = classes.select(F.col("o_orderkey").alias("class_ord"), F.col("o_orderstatus").alias("full_name"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("super_class"), F.array().cast("array<string>").alias("interfaces"))
-    out = st.class_structure(classes, fields, order_methods(spark, d))
-    return out.select("class_ord", "class_name", "super_class", F.array_join("fields", ";").alias("fields"))
+    interfaces = F.when(F.col("o_orderstatus") != "F", F.array(F.concat(F.lit("I"), "o_orderstatus"), F.lit("J")))
+    classes = read(spark, d, "orders").select(F.col("o_orderkey").alias("class_ord"), F.col("o_orderstatus").alias("full_name"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("super_class"), interfaces.alias("interfaces"))
+    out = st.class_structure(classes, line_fields(spark, d), order_methods(spark, d))
+    return out.select("class_ord", "class_name", "super_class", *[F.array_join(c, ";").alias(c) for c in ("implements", "fields", "methods")])
 
 
 @bound("class_source", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR doc_id % 7 = 0 THEN '/* Decompile failed */' ELSE text END AS source FROM documents")
@@ -232,20 +226,6 @@ def resolve_class(spark, d):  # R44
 
 
 @bound("resolve_code", """
-    WITH names AS (SELECT c_custkey, c_name, unnest([c_name || '.1-URGENT(I)F', c_name || '.1-URGENT', c_name || '.nope', c_name]) AS name FROM customer WHERE c_custkey <= 40),
-         m AS (SELECT o_custkey, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS sig, min(o_orderkey) AS named FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
-    SELECT name, c_custkey AS class_ord,
-           CAST(coalesce(CASE WHEN name LIKE '%(I)F' THEN sig WHEN name LIKE '%URGENT' THEN named END, -1) AS INTEGER) AS method_ord,
-           CASE WHEN name LIKE '%(I)F' AND sig IS NOT NULL THEN 1 WHEN name LIKE '%URGENT' AND named IS NOT NULL THEN 2 ELSE 3 END AS branch
-    FROM names LEFT JOIN m ON o_custkey = c_custkey
-""")
-def resolve_code(spark, d):  # R45
-    classes = customer_classes(spark, d)
-    names = classes.where("class_ord <= 40").select(F.explode(F.array(F.concat("full_name", F.lit(".1-URGENT(I)F")), F.concat("full_name", F.lit(".1-URGENT")), F.concat("full_name", F.lit(".nope")), F.col("full_name"))).alias("name"))
-    return rv.resolve_code(names, classes, order_methods(spark, d)).fillna(-1, ["method_ord"])  # -1: the whole class
-
-
-@bound("resolve_code_all", """
     WITH names AS (SELECT c_custkey, c_name, unnest([c_name || '.1-URGENT(I)F', c_name || '.1-URGENT', c_name || '.nope', c_name]) AS name FROM customer),
          m AS (SELECT o_custkey, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS sig, min(o_orderkey) AS named FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
     SELECT name, c_custkey AS class_ord,
@@ -253,7 +233,7 @@ def resolve_code(spark, d):  # R45
            CASE WHEN name LIKE '%(I)F' AND sig IS NOT NULL THEN 1 WHEN name LIKE '%URGENT' AND named IS NOT NULL THEN 2 ELSE 3 END AS branch
     FROM names LEFT JOIN m ON o_custkey = c_custkey
 """)
-def resolve_code_all(spark, d):  # R45, names of all classes
+def resolve_code(spark, d):  # R45
     classes = customer_classes(spark, d)
     names = classes.select(F.explode(F.array(F.concat("full_name", F.lit(".1-URGENT(I)F")), F.concat("full_name", F.lit(".1-URGENT")), F.concat("full_name", F.lit(".nope")), F.col("full_name"))).alias("name"))
     return rv.resolve_code(names, classes, order_methods(spark, d)).fillna(-1, ["method_ord"])  # -1: the whole class
@@ -349,7 +329,7 @@ def main_activity(spark, d):  # R34, R51, R52: the first candidate doesn't resol
 
 @bound("regex_attr", "SELECT page_id, regexp_extract(html, '<html[^>]+lang\\s*=\\s*\"([^\"]+)\"', 1) AS lang FROM pages")
 def regex_attr(spark, d):  # R50 over another tag
-    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", tx.MANIFEST_PACKAGE.replace("manifest", "html").replace("package", "lang"), 1).alias("lang"))
+    return read(spark, d, "pages").select("page_id", tx.tag_attribute(F.col("html"), "html", "lang").alias("lang"))
 
 
 @bound("manifest_package", "SELECT p_partkey, p_brand AS strict, p_brand AS loose, '' AS missing FROM part")
@@ -395,7 +375,7 @@ def lenient_numbers(spark, d):  # R48, R49
 
 
 @bound("path_parts", "SELECT s_suppkey, true AS is_method, 'm' || s_nationkey AS member, 'a.b.C' AS owner, s_name AS whole FROM supplier")
-def path_parts(spark, d):  # R55, R56
+def path_parts(spark, d):  # R55
     path = F.concat(F.lit("a.b.C.m"), F.col("s_nationkey").cast("string"), F.lit("(Lx.y;)V"))
     return read(spark, d, "supplier").select("s_suppkey", tx.is_method_name(path).alias("is_method"), tx.method_part(path).alias("member"), tx.class_part(path).alias("owner"), tx.class_part(F.col("s_name")).alias("whole"))
 
@@ -427,7 +407,7 @@ def rename_event_append(spark, d):  # R18
 
 
 @bound("task_snapshot", "SELECT user_id AS task_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
-def task_snapshot(spark, d):  # R62
+def task_snapshot(spark, d):  # the shape of R62's answer over a log of states; task_poll runs the tasks themselves
     return read(spark, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("seq"))
 
 
@@ -443,9 +423,66 @@ def task_string_search(spark, d):  # R61-R63: the second task is answered from t
     engine.tasks.wait(engine.search_string("License")["task_id"], 600)
     done = engine.task_status(engine.search_string("License")["task_id"])
     engine.tasks.close()
-    return spark.createDataFrame([(n, done["status"]) for n in done["result"]], "full_name string, status string")
+    return done["result"].table.select("full_name", F.lit(done["status"]).alias("status"))
 
 
 @bound("json_rows", "SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name})::VARCHAR AS json FROM nation")
 def json_rows(spark, d):  # R14, R15
     return as_json(read(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
+@bound("task_poll", "SELECT r_name AS type, 'SUCCESS' AS status, CAST(count(n_nationkey) AS VARCHAR) AS result FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def task_poll(spark, d):  # R61, R62: a task for each region, polled until it has ended, as the table of tasks
+    tasks, nation = TaskManager(spark), read(spark, d, "nation")
+    regions = read(spark, d, "region").select("r_name", "r_regionkey").collect()  # a task each, as they were asked for
+    ids = [tasks.submit(r["r_name"], lambda key=r["r_regionkey"]: nation.where(F.col("n_regionkey") == key).count())["task_id"] for r in regions]
+    for task_id in ids:
+        tasks.wait(task_id, 600)
+    tasks.close()
+    return tasks.table().select("type", "status", "result")
+
+
+@bound("renamed_classes", "SELECT n_nationkey AS class_ord, CASE WHEN n_nationkey % 2 = 0 THEN 'app.N' || n_nationkey ELSE 'app.' || n_name END AS full_name, CASE WHEN n_nationkey % 2 = 0 THEN 'app.n' || n_nationkey ELSE lower('app.' || n_name) END AS full_name_lc FROM nation")
+def renamed_classes(spark, d):  # R58: the last of two renames of every other class
+    classes = nation_classes(spark, d)
+    some = classes.where("class_ord % 2 = 0").select("class_ord", "full_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"))
+    new = F.when(F.col("turn") == 1, F.lit("Passing")).otherwise(F.concat(F.lit("N"), F.col("class_ord").cast("string")))
+    log = some.select((F.col("class_ord") * 2 + F.col("turn")).alias("seq"), F.lit("class").alias("kind"), F.col("full_name").alias("class_name"), F.lit(None).cast("string").alias("member"), F.lit("x").alias("old_name"), new.alias("new_name"))
+    shown = rn.shown_tables({"classes": with_lowered("classes", classes), "renames": log})
+    return shown["classes"].select("class_ord", "full_name", "full_name_lc")
+
+
+@bound("open_dataset", "SELECT c_custkey AS class_ord, c_name AS full_name, lower(c_name) AS full_name_lc FROM customer")
+def open_dataset(spark, d):  # R01: a dataset is written, and opened from its folder
+    folder = result_folder(spark)
+    Catalog.of(spark, classes=customer_classes(spark, d)).write(folder)
+    return Catalog.open(spark, folder).classes().select("class_ord", "full_name", "full_name_lc")
+
+
+#: Parameters as they come in, and what they say.
+_PATHS = ("a.b.C.m(Lx.y;)V", "m", "a.B", "(I)V", ".x", "a.b.", "")
+_QUERIES = ("a=1&b&a=2&c=%zz&d=x+y&=e", "", "k=%E4%BD%A0&k2=a%3Db", "&&x==y&")
+
+
+@bound("split_paths", "SELECT * FROM (VALUES ('a.b.C.m(Lx.y;)V', 'a.b.C', 'm', '(Lx.y;)V', false), ('m', NULL, 'm', NULL, false), ('a.B', 'a', 'B', NULL, false), ('(I)V', NULL, '(I)V', NULL, false), ('.x', '', 'x', NULL, false), ('a.b.', 'a.b', '', NULL, false), ('', NULL, '', NULL, true)) t(path, owner, member, descriptor, blank)")
+def split_paths(spark, d):  # R35, R56
+    return spark.createDataFrame([(p, *tx.split_descriptor(p), tx.is_blank(p)) for p in _PATHS], "path string, owner string, member string, descriptor string, blank boolean")
+
+
+@bound("query_params", "SELECT * FROM (VALUES (0, 'a', '2'), (0, 'b', ''), (0, 'c', '%zz'), (0, 'd', 'x y'), (0, '', 'e'), (2, 'k', chr(20320)), (2, 'k2', 'a=b'), (3, 'x', '=y')) t(nr, name, value)")
+def query_params(spark, d):  # R57
+    return spark.createDataFrame([(i, k, v) for i, q in enumerate(_QUERIES) for k, v in tx.query_params(q).items()], "nr int, name string, value string")
+
+
+@bound("status_and_caches", "SELECT 503 AS without_dataset, 200 AS status, 'RUNNING' AS health, count(*) AS classes, 1 AS moved, '' AS message FROM part")
+def status_and_caches(spark, d):  # R63, R64: clearing the caches moves the version, and a search is made anew
+    classes = part_classes(spark, d)
+    engine = Engine(Catalog.of(spark, classes=classes, class_text=classes.select("class_ord", F.col("full_name").alias("code"))))
+    engine.tasks.wait(engine.search_string("a")["task_id"], 600)
+    before, n = engine.status(), engine.list_classes().metadata()["total"]
+    engine.clear_cache()
+    again = engine.tasks.wait(engine.search_string("a")["task_id"], 600)
+    after = engine.status()
+    engine.tasks.close()
+    row = (Engine(None).status()["status"], after["status"], after["health"], n, after["dataset_version"] - before["dataset_version"], again.get("message", ""))
+    return spark.createDataFrame([row], "without_dataset int, status int, health string, classes long, moved int, message string")

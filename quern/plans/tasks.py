@@ -31,8 +31,9 @@ class TaskManager:
         task_id = uuid.uuid4().hex[:8]
         task = {"task_id": task_id, "type": kind, "status": RUNNING, "timestamp": int(time.time() * 1000)}
         with self.lock:
-            while len(self.tasks) >= self.keep:
-                self.tasks.pop(next(iter(self.tasks)))
+            ended = [k for k, t in self.tasks.items() if t["status"] != RUNNING]
+            for k in ended[: max(0, len(self.tasks) - self.keep + 1)]:  # the oldest that have ended; one that runs can always be polled
+                del self.tasks[k]
             self.tasks[task_id] = task
             hit = key is not None and key in self.cache
             if hit:

@@ -4,6 +4,7 @@ import pytest
 
 from quern import DatasetUnavailable, InvalidArgument, NotFound
 from quern.plans.engine import Engine
+from quern.plans.tasks import TaskManager
 from quern.sources.catalog import Catalog
 
 from .corpus import catalog
@@ -208,6 +209,59 @@ def test_renames(spark):
             bad()
 
 
+def test_renames_take_effect(spark):
+    e = Engine(catalog(spark))
+    e.rename_class("com.app.Main", "Start")
+    assert names(e.search_classes("start")) == ["com.app.Start", "com.app.Start.Run"]  # the inner class follows
+    assert names(e.search_classes("main")) == []
+    assert e.code("com.app.Start") == e.code("com.app.Main") == "MessageDigest.x(); SecretKeySpec y; AES"  # the raw name still finds it
+    e.rename_class("com.app.Start", "Begin")
+    e.rename_class("com.app.Begin.Run", "Go")
+    assert names(e.list_classes("com.app."))[:2] == ["com.app.Begin", "com.app.Begin.Go"]
+    assert e.structure("com.app.Begin").first()["class_name"] == "com.app.Begin"
+    e.rename_method("com.app.Begin.enc(I)V", "encode")
+    assert [r["signature"] for r in e.search_methods("encode").items.collect()] == ["com.app.Begin | encode(I)V"]
+    assert e.code("com.app.Begin.encode") == "// Method: com.app.Begin.encode\n\nint enc"
+    refs = lambda x: [r["reference"] for r in x[1].items.collect()]
+    assert refs(e.xrefs("com.app.Begin", method="encode")) == refs(e.xrefs("com.app.Main", method="enc")) == ["u.A | a()V"]
+    e.rename_field("com.app.Begin", "key", "secret")
+    assert e.structure("com.app.Begin").first()["fields"] == ["java.lang.String secret", "n"]
+    assert len(refs(e.xrefs("com.app.Begin", field="secret"))) == len(refs(e.xrefs("com.app.Begin", field="key"))) == 3
+    e.rename_variable("com.app.Begin", "com.app.Begin.encode", "v", "value", reg=2)
+    e.rename_variable("com.app.Begin", "com.app.Begin.encode", "value", "count", reg=2)
+    assert [r["name"] for r in e.shown.variables_of(0, 0).orderBy("var_ord").collect()] == ["v", "count", "w"]
+    assert e.catalog.table("variables").where("name = 'v'").count() == 2  # the dataset itself is as it was
+    assert e.names("class").count() == 3
+
+
+def test_names_of_users_follow(spark):
+    c = catalog(spark)
+    c.tables["classes"] = c.classes().unionByName(spark.createDataFrame([{"class_ord": 20, "full_name": "u.A", "full_name_lc": "u.a", "raw_name": "u.A", "short_name": "A", "is_inner": False, "interfaces": ["x.Util"]}], c.classes().schema))
+    c.tables["methods"] = c.table("methods").unionByName(spark.createDataFrame([{"class_ord": 20, "method_ord": 0, "name": "a", "name_lc": "a", "short_id": "a()V", "full_name": "u.A.a"}], c.table("methods").schema))
+    e = Engine(c)
+    e.rename_class("u.A", "Caller")
+    e.rename_method("u.Caller.a", "call")
+    e.rename_class("x.Util", "Tool")
+    page = e.xrefs("com.app.Main")[1]
+    assert [r["reference"] for r in page.items.collect()] == ["u.Z", "u.Z", "u.Caller | call()V", "u.Caller | call()V"]
+    assert e.structure("u.Caller").first()["implements"] == ["x.Tool"]
+
+
+def test_results_stay_on_storage(engine):
+    done = engine.tasks.wait(engine.search_string("AES")["task_id"])["result"]
+    assert done.table.columns == ["class_ord", "full_name"] and len(done) == 1 and str(done) == done.path
+
+
+def test_running_tasks_are_never_dropped(spark):
+    tasks = TaskManager(spark, workers=1, keep=2)
+    slow = tasks.submit("SLOW", lambda: time.sleep(1) or 1)["task_id"]
+    for _ in range(5):
+        tasks.submit("QUICK", lambda: 2)
+    assert tasks.poll(slow)["status"] == "RUNNING"
+    assert tasks.wait(slow)["result"] == 1
+    tasks.close()
+
+
 def test_status(engine):
     got = engine.status()
     assert got["status"] == 200 and 0 < got["memory_percent"] <= 100

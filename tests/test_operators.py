@@ -97,6 +97,29 @@ def test_rename_log(spark):
     assert sorted(r["n"] for r in rn.apply_renames(df, log, "n").collect()) == ["b", "z"]
 
 
+def test_long_chains_and_large_maps(spark):
+    chain = spark.createDataFrame([(i, "class", "a", None, f"n{i}", f"n{i + 1}") for i in range(200)], TABLES["renames"])
+    assert {r["new_name"] for r in rn.closed_names(chain).collect()} == {"n200"}
+    ring = spark.createDataFrame([(i, "class", "a", None, f"n{i}", f"n{(i + 1) % 3}") for i in range(3)], TABLES["renames"])
+    assert rn.closed_names(ring).count() == 3
+    assert rn.export_mapping(chain, most=200).first()["mapping"]["n7"] == "n6"
+    with pytest.raises(Exception, match="more than 199 names"):
+        rn.export_mapping(chain, most=199).collect()
+    assert rn.export_mapping(chain.limit(0)).first()["mapping"] == {}
+
+
+def test_text_is_split_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(tx.line_slice(F.col("t"), 2, 4).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_replace" not in plan
+
+
+def test_blank_resource_names(spark):
+    from quern.operators.search import list_resources
+
+    rows = spark.createDataFrame([(0, None, "\t"), (1, None, "\u3000 "), (2, None, None), (3, None, " a")], "res_ord long, original_name string, deobf_name string")
+    assert [r["res_ord"] for r in list_resources(rows).collect()] == [3]
+
+
 SMALI = """.class public LHelloWorld;
 .super Ljava/lang/Object;
 .implements Lx/Y;
