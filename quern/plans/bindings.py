@@ -452,8 +452,8 @@ def renamed_classes(spark, d):  # R58: the last of two renames of every other cl
     return shown["classes"].select("class_ord", "full_name", "full_name_lc")
 
 
-@bound("open_dataset", "SELECT c_custkey AS class_ord, c_name AS full_name, lower(c_name) AS full_name_lc FROM customer")
-def open_dataset(spark, d):  # R01: a dataset is written, and opened from its folder
+@bound("dataset_open", "SELECT c_custkey AS class_ord, c_name AS full_name, lower(c_name) AS full_name_lc FROM customer")
+def dataset_open(spark, d):  # R01: a dataset is written, and opened from its folder
     folder = result_folder(spark)
     Catalog.of(spark, classes=customer_classes(spark, d)).write(folder)
     return Catalog.open(spark, folder).classes().select("class_ord", "full_name", "full_name_lc")

@@ -12,7 +12,7 @@ def rows_of(rows):
     return Counter(tuple(int(v) if isinstance(v, Decimal) else v for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["resolve_code", "methods_of_class", "fields_of_class", "class_structure", "task_poll", "renamed_classes", "open_dataset", "split_paths", "query_params", "status_and_caches", "line_slice", "task_string_search", "regex_attr"])
+@pytest.mark.parametrize("name", ["resolve_code", "methods_of_class", "fields_of_class", "class_structure", "task_poll", "renamed_classes", "dataset_open", "split_paths", "query_params", "status_and_caches", "line_slice", "task_string_search", "regex_attr"])
 def test_whole_tables_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
