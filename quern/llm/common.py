@@ -45,8 +45,24 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+#: Folders of tables that this driver has written into the shared folder and not deleted.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written() -> int:
+    """How many folders stand in the shared folder; drop_since() takes it."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, but: int = 0) -> None:
+    """Deletes the folders written since written() gave mark, but for the last `but` ones: what a finished step leaves behind. Nothing may read them any more."""
+    for folder in _WRITTEN[mark : len(_WRITTEN) - but]:
+        _delete(spark, folder)
 
 
 def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -59,11 +75,15 @@ def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table that write_table() made and nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/quern/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[:] = [w for w in _WRITTEN if w.rpartition("/")[2] != folder.rpartition("/")[2]]
 
 
 def ascii_lower(col: Column) -> Column:

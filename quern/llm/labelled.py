@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A classifier is fitted on so many labelled documents at most, each of at most so many characters.
+from .common import drop_table, write_table
+
+#: A classifier is fitted on so many labelled documents at most, each of at most so many characters, and all of so many.
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 32_768
+SAMPLE_TOTAL = 50_000_000
 
 
 def fold_of(id_col: Column, folds: int) -> Column:
@@ -16,16 +19,28 @@ def fold_of(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> tuple[list[str], np.ndarray]:
     """Texts and labels (0 or 1) of the first `rows` labelled documents by hash of their id, none of the held-out fold.
 
-    Null ids and labels are passed over; of several labels for a document the largest counts.
+    Null ids and labels are passed over; of several labels for a document the largest counts. Longer
+    texts than `chars` are left out, and what follows once all hold `total` characters: the driver
+    holds no more than that.
     """
     fold = fold_of(F.col("doc_id"), folds)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("_text"), F.lit(0)) <= chars)
+    chosen = chosen.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(rows)
+    found = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").withColumn("_chars", F.coalesce(F.length("_text"), F.lit(0))).where(F.col("_chars") <= chars)
+    found = write_table(found, "labelled-sample")
+    held, last = 0, None
+    for r in found.select("_order", "doc_id", "_chars").orderBy("_order", "doc_id").toLocalIterator():
+        held += r["_chars"]
+        if held > total:
+            last = (r["_order"], r["doc_id"])
+            break
+    if last is not None:
+        found = found.where((F.col("_order") < last[0]) | ((F.col("_order") == last[0]) & (F.col("doc_id") < last[1])))
     got = sorted((r["doc_id"], r["_text"] or "", r["_label"]) for r in found.collect())
+    drop_table(found)
     return [t for _, t, _ in got], np.array([y for *_, y in got], dtype=np.float64)
 
 

@@ -11,6 +11,7 @@ sequences; each piece then looks up its own rank.
 from __future__ import annotations
 
 import json
+import random
 import zlib
 from array import array
 from collections import deque
@@ -35,21 +36,32 @@ PROBES = ("", " ", "It's  a\n\n test,\t\u00e9t\u00e9 12 345!", "  two\r\n \u00a0
 class Vocabulary:
     """Token ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    The file's vocabulary and special tokens go to tiktoken, which gives the same ids as the
-    tokenizers library in a quarter of its time; each worker compares both on PROBES when it loads
-    the file, and keeps to the tokenizers library if they differ. Texts that tiktoken can't encode, as
-    with a million white-space characters in a row, go to the tokenizers library too.
+    Where the file is plain byte-level BPE (see plain_byte_bpe), its vocabulary and special tokens go
+    to tiktoken, which gives the same ids as the tokenizers library in a quarter of its time; each
+    worker also compares both on PROBES and on words put together from the vocabulary when it loads the
+    file, and keeps to the tokenizers library if they differ. Texts that tiktoken can't encode, as
+    with a million white-space characters in a row, go to the tokenizers library too, which is
+    loaded again then: a worker holds one of both.
     """
 
     _loaded: dict[str, Vocabulary] = {}
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        self._slow = None
         self.fast = _tiktoken_of(path)
-        if any(self.encode(t) != self.encode_slowly(t) for t in PROBES):
+        if self.fast is not None and any(self.encode(t) != self.encode_slowly(t) for t in [*PROBES, *_made_up(self.fast)]):
             self.fast = None
+        if self.fast is not None:
+            self._slow = None
+
+    @property
+    def tokenizer(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -69,12 +81,36 @@ class Vocabulary:
             return self.encode_slowly(text)
 
 
+def plain_byte_bpe(file: dict) -> bool:
+    """Whether a tokenizer file says byte-level BPE and nothing besides: no normaliser, the usual splitting, special tokens that match as they are, and merges in the order of the ids they make."""
+    model, before = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    return None not in made and all(x < y for x, y in zip(made, made[1:], strict=False)) and len(made) + 256 == sum(w not in special for w in vocab)
+
+
+def _made_up(encoding) -> list[str]:
+    """Words put together from pieces of the vocabulary, the same each time: they try merges that run across pieces."""
+    rng = random.Random(11)
+    pieces = [encoding.decode_single_token_bytes(rng.randrange(encoding.n_vocab - 1)) for _ in range(4_000)]
+    return [b"".join(pieces[i : i + 8]).decode("utf-8", "replace") for i in range(0, len(pieces), 8)]
+
+
 def _tiktoken_of(path: str):
-    """None where the file isn't byte-level BPE with ids in order of merges."""
+    """None where the file isn't plain byte-level BPE."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    if not plain_byte_bpe(file):
+        return None
     special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
     # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

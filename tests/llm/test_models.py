@@ -61,6 +61,8 @@ def test_held_out_labels_do_not_matter(spark, tables):
     again, z = labelled_sample(docs, flipped, "quality", 3, 1)
     assert texts == again and (y == z).all()
     assert len(labelled_sample(docs, labels, "quality", 3, 1, rows=50)[0]) == 50
+    some, _ = labelled_sample(docs, labels, "quality", 3, 1, total=20_000)
+    assert set(some) < set(texts) and 15_000 < sum(map(len, some)) <= 20_000
 
 
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from array import array
@@ -6,11 +7,13 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quern.llm.common import read_table
-from quern.llm.packing import RoomTree, Vocabulary, best_fit_decreasing, pack, piece_lengths
+from quern.llm.common import drop_since, read_table, written
+from quern.llm.mixing import targets
+from quern.llm.packing import RoomTree, Vocabulary, best_fit_decreasing, pack, piece_lengths, plain_byte_bpe
+from quern.llm.quality import fit_on
 from quern.llm.queries import tokenizer_path
 
-from .helpers import awkward, documents
+from .helpers import WORD, awkward, documents
 
 PATH = tokenizer_path()
 
@@ -86,6 +89,25 @@ def test_ids_are_those_of_the_tokenizer_file():
     assert other.fast is None and other.encode("a b") == other.encode_slowly("a b")
 
 
+def test_only_plain_byte_bpe_goes_to_the_fast_library():
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    assert plain_byte_bpe(json.loads(text))
+    for change in (
+        lambda f: f.update(normalizer={"type": "NFC"}),
+        lambda f: f["pre_tokenizer"].update(add_prefix_space=True),
+        lambda f: f["pre_tokenizer"].update(use_regex=False),
+        lambda f: f["model"].update(ignore_merges=True),
+        lambda f: f["model"].update(dropout=0.1),
+        lambda f: f["added_tokens"][0].update(lstrip=True),
+        lambda f: f["model"]["merges"].reverse(),
+        lambda f: f["model"]["merges"].pop(),
+    ):
+        file = json.loads(text)
+        change(file)
+        assert not plain_byte_bpe(file)
+
+
 def check_packing(rows, out, capacity):
     own = Vocabulary.load(PATH)
     want = []
@@ -160,11 +182,44 @@ def test_stages(spark, small, tmp_path):
 
 
 def test_run(spark, small):
-    out = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    """run() against its stages done plainly: model scores, a dictionary of texts, all pairs, targets by hand, and one piece after the other."""
+    from .test_minhash import plain
+
+    docs = read_table(spark, small, "documents")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    model = fit_on(docs, read_table(spark, small, "labels"))
+    good = [r for r, s in zip(rows, model.scores([t for _, t, _ in rows]), strict=True) if s >= 0.5]
+    last = {}
+    for i, t, _ in good:
+        last[t or ""] = max(i, last.get(t or "", -1))
+    single = [r for r in good if last[r[1] or ""] == r[0]]
+    stays = {i for i, _, _, kept in plain([r[:2] for r in single]) if kept}
+    near = [r for r in single if r[0] in stays]
+
+    out = corpus_pipeline.run(spark, small).collect()
+    copies = {}
+    for r in out:
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + (r["piece"] == 0)
+    assert set(copies) <= {i for i, *_ in near} and max(copies.values()) <= 3
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in near}
+    names = sorted({s for *_, s in near}, key=lambda s: (s is None, s or ""))
+    goal = targets([sum(size[i] for i, _, s in near if s == n) for n in names], [(1.0, 2.0, 3.0)[k % 3] for k in range(len(names))])
+    for n, want in zip(names, goal, strict=True):
+        own = [i for i, _, s in near if s == n]
+        assert abs(sum(size[i] * copies.get(i, 0) for i in own) - want) <= max(map(size.get, own))
+    check_packing([(i, t) for i, t, _ in near for _ in range(copies.get(i, 0))], out, 1024)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "packing"] and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_run_leaves_only_what_its_result_reads(spark, small):
+    mark = written()
+    out = corpus_pipeline.run(spark, small)
+    assert written() - mark <= 4  # the last stage's input and its tables
+    assert out.count() > 0
+    drop_since(spark, mark)
+    assert written() == mark
+
+
 @pytest.mark.parametrize("text", [" " * 1_000_001 + "x", "a" + "\t" * 1_000_001 + "b", "\n" * 1_200_000])
 def test_very_long_white_space(text):
     from tokenizers import Tokenizer
