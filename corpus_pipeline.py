@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import read_table, write_table
+from quern.llm.common import drop_since, drop_table, read_table, write_table, written
 from quern.llm.exact_dedup import dedup_rows
 from quern.llm.minhash import distinct_rows
 from quern.llm.mixing import draw_rows, plan_mix
@@ -40,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' tokens, each with its sequence and its place there."""
     return pack(docs, tokenizer_path())
 
 
@@ -50,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = write_table(docs, f"pipeline-{name}")
-    return docs
+    """The packed pieces of documents that went through all stages. Once a stage's result is written, what the stage left in the shared folder goes, and then the result before it; the last stage's tables stay, as the returned pieces read them."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        mark = written()
+        out = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_since(spark, mark, but=1)
+        if before is not None:
+            drop_table(before)
+        docs = before = out
+    return STAGES[-1][1](spark, docs, sf_dir)
