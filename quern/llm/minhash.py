@@ -39,10 +39,10 @@ PERCENT = 80
 LEAST_ESTIMATE = 0.60
 #: Members of a confirmation block and of a comparison block, about.
 CONFIRM_ROWS = 64
-COMPARE_ROWS = 256
+COMPARE_ROWS = 128
 #: Elements of the sets that are compared at once, on either side, about; words whose hashes a worker remembers.
 CHUNK_ELEMENTS = 500_000
-REMEMBERED = 65_536
+REMEMBERED = 200_000
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)

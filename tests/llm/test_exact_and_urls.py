@@ -152,6 +152,15 @@ def test_long_rule_list_and_default(spark):
     assert judge_urls(pages(spark, urls), rules_table(spark, [])).where("rule is not null").count() == 0
 
 
+def test_long_urls_and_null_ids(spark):
+    long = "http://a.b.example.com/en/" + "x/" * 20_000 + "?q=" + "y" * 50_000
+    deep = "http://" + "s." * 300 + "example.net/fr/"
+    rows = [(None, "http://www.example.com/en/x"), (None, None), (None, "http://www.example.com/en/x"), (1, long), (2, deep), (3, "http://" + "h" * 30_000)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted((r["page_id"] or 0, r["rule"] or "", r["verdict"]) for r in got) == [(0, "", "allow"), (0, "www.example.com/en/", "allow"), (0, "www.example.com/en/", "allow"), (1, "example.com/en/", "block"), (2, "net/fr/", "block"), (3, "", "allow")]
+    assert next(r for r in got if r["page_id"] == 1)["path"] == "/en/" + "x/" * 20_000
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     words, blocks = bloom_words(keys, 5000)
