@@ -21,7 +21,7 @@ from ..operators import structure as st
 from ..operators import xrefs as xr
 from ..sources.catalog import Catalog, resource_text, with_lowered
 from ..sources.results import result_folder
-from ..sources.sinks import as_json
+from ..sources.sinks import as_json, snippets
 from .engine import Engine
 from .tasks import TaskManager
 
@@ -486,3 +486,16 @@ def status_and_caches(spark, d):  # R63, R64: clearing the caches moves the vers
     engine.tasks.close()
     row = (Engine(None).status()["status"], after["status"], after["health"], n, after["dataset_version"] - before["dataset_version"], again.get("message", ""))
     return spark.createDataFrame([row], "without_dataset int, status int, health string, classes long, moved int, message string")
+
+
+@bound("edges_of_kind", "SELECT l_partkey AS target_class_ord, count(*) AS users FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1")
+def edges_of_kind(spark, d):  # R13
+    odd = F.col("l_linenumber") % 2 == 0
+    line = read(spark, d, "lineitem").select(F.when(odd, F.lit("method")).otherwise(F.lit("field")).alias("target_kind"), F.col("l_partkey").alias("target_class_ord"))
+    return Catalog.of(spark, classes=part_classes(spark, d), use_edges=line).edges("method").groupBy("target_class_ord").agg(F.count(F.lit(1)).alias("users"))
+
+
+@bound("snippets_to_push", "SELECT to_json({'context': role, 'code': CASE WHEN turn % 2 = 1 THEN '' ELSE 'x' || turn END})::VARCHAR AS json FROM conversations")
+def snippets_to_push(spark, d):  # R17
+    rows = read(spark, d, "conversations").select("role", F.when(F.col("turn") % 2 != 1, F.concat(F.lit("x"), F.col("turn").cast("string"))).alias("code"))
+    return snippets(rows, "role", "code")

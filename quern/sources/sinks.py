@@ -11,5 +11,10 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(name))
 
 
+def snippets(df: DataFrame, context: str, code: str) -> DataFrame:
+    """What is pushed for each row, as one JSON object of its context and its code; a null code is an empty one."""
+    return df.select(F.to_json(F.struct(F.col(context).alias("context"), F.coalesce(F.col(code), F.lit("")).alias("code"))).alias("json"))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
