@@ -63,8 +63,10 @@ PATTERNS = (
 )
 #: Words for the reader.
 SECOND = frozenset(("you", "your", "yours", "yourself", "youre", "u", "ur"))
+#: Words that the first pattern begins with.
+FRAMES = frozenset(("you", "u", "shut", "get", "go"))
 #: Words whose terms a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -90,20 +92,24 @@ class Terms:
 
     def __init__(self, terms: list[str]) -> None:
         self.at = {t: i for i, t in enumerate(terms)}
+        self._lengths = sorted({len(t) - 1 for t in terms if t.endswith("*")})
         self._known: dict[str, tuple[int, ...]] = {}
 
     def of(self, word: str) -> tuple[int, ...]:
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            got = self._known[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
-        return got
+        at = self.at
+        own = [at[word]] if word in at else []
+        own += [at[t] for n in self._lengths if len(word) > n and (t := word[:n] + "*") in at]
+        return tuple(own)
 
     def counts(self, words: Counter) -> dict[int, int]:
         out: dict[int, int] = {}
         for w, n in words.items():
-            for i in self.of(w):
+            got = self._known.get(w)
+            if got is None:
+                if len(self._known) >= REMEMBERED:
+                    self._known.clear()
+                got = self._known[w] = self.of(w)
+            for i in got:
                 out[i] = out.get(i, 0) + n
         return out
 
@@ -180,6 +186,7 @@ class ToxicityModel:
         self.lexicon = [*self.mined, *((w, 1) for w in SEEDS if not any(_nested(w, t) for t, _ in self.mined))]
         self._terms = Terms(list(dict.fromkeys(t for t, _ in self.lexicon)))
         self._wider = Terms(self.wider)
+        self._known: dict[str, tuple | None] = {}
         self._least = np.array([k for _, k in self.lexicon])
         self._own = np.array([self._terms.at[t] for t, _ in self.lexicon])
 
@@ -190,21 +197,46 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def _learn(self, word: str) -> tuple | None:
+        """What a word as it is written adds to a text: flags, its terms in the lexicon, its wider words; None if nothing."""
+        low = word.lower()
+        flags = (word.isupper(), word.isdigit(), low in SECOND, low in FRAMES, len(low) == 1)
+        own, wide = self._terms.of(low), self._wider.of(low)
+        about = (*flags, own, wide) if any(flags) or own or wide else None
+        if len(self._known) >= REMEMBERED:
+            self._known.clear()
+        self._known[word] = about
+        return about
+
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits of each term of the lexicon; (words, shouting, each pattern); the shares and wider words that only the classifier reads."""
-        written = WORD.findall(text)
-        words = Counter(w.lower() for w in written)
-        n = max(1, len(written))
-        hits = np.zeros(len(self._terms.at))
-        for i, k in self._terms.counts(words).items():
-            hits[i] = k
+        words = Counter(WORD.findall(text))
+        hits, more = np.zeros(len(self._terms.at)), np.zeros(4 + len(self.wider))
+        total = upper = digits = second = frames = letters = 0
+        known = self._known
+        for w, k in words.items():
+            total += k
+            about = known.get(w, 0)
+            if about == 0:
+                about = self._learn(w)
+            if about is None:
+                continue
+            is_upper, is_digit, is_second, is_frame, is_letter, own, wide = about
+            upper += k * is_upper
+            digits += k * is_digit
+            second += k * is_second
+            frames += is_frame
+            letters += k * is_letter
+            for i in own:
+                hits[i] += k
+            for i in wide:
+                more[4 + i] = 1
         hits = hits[self._own]
-        upper, marks = sum(map(str.isupper, written)), text.count("!") + text.count("?")
-        facts = np.array([len(written), upper > 0.5 * len(written), *(p.search(text) is not None for p in PATTERNS)], float)
-        more = np.zeros(4 + len(self.wider))
-        more[:4] = upper / n, marks / (marks + n), sum(words[w] for w in SECOND) / n, sum(map(str.isdigit, written)) / n
-        for i in self._wider.counts(words):
-            more[4 + i] = 1
+        n, marks = max(1, total), text.count("!") + text.count("?")
+        # a pattern is only looked for where what it is made of is there
+        may = (frames, marks >= 3, letters >= 4 or "_" in text, "*" in text or "#" in text or "$" in text)
+        facts = np.array([total, upper > 0.5 * total, *(bool(m) and p.search(text) is not None for p, m in zip(PATTERNS, may, strict=True))], float)
+        more[:4] = upper / n, marks / (marks + n), second / n, digits / n
         return hits, facts, more
 
     def votes(self, hits: np.ndarray, facts: np.ndarray) -> np.ndarray:
