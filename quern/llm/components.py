@@ -40,13 +40,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node, comp) with the components that edges (a, b) join made one. Nodes without a label are components of their own."""
+    """labels (node, comp) with the components that edges (a, b) join made one. Nodes without a label are components of their own. The files of labels go."""
     own = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     across = edges.join(own, "a", "left").join(own.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-    met = connected_components(across.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    met = write_table(met.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "cc-joined")
+    joined = connected_components(across.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    met = joined.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("held"))
     table = sizes.join(met, "comp", "left").select("comp", F.coalesce("whole", "comp").alias("whole"), "held")
     moved = skew_safe_lookup(labels, table, ["comp"], "held", labels.count()).select("node", F.col("whole").alias("comp"))
     new = met.join(own, met["comp"] == own["a"], "left_anti").select(F.col("comp").alias("node"), F.col("whole").alias("comp"))
-    return write_table(moved.union(new), "cc-labels")
+    whole = write_table(moved.union(new), "cc-labels")
+    for done in (labels, joined):
+        drop_table(done)
+    return whole

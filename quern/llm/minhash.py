@@ -39,7 +39,7 @@ PERCENT = 80
 LEAST_ESTIMATE = 0.60
 #: Members of a confirmation block and of a comparison block, about.
 CONFIRM_ROWS = 64
-COMPARE_ROWS = 128
+COMPARE_ROWS = 256
 #: Elements of the sets that are compared at once, on either side, about; words whose hashes a worker remembers.
 CHUNK_ELEMENTS = 500_000
 REMEMBERED = 200_000
