@@ -118,3 +118,17 @@ def skew_safe_lookup(probe: DataFrame, table: DataFrame, keys: list[str], weight
     out = out.join(light, [*keys, "_mark"], "left")
     got = F.coalesce(F.col("_hv"), F.col("_lv"))
     return out.select(*probe.columns, *[got[c].alias(c) for c in value_cols])
+
+
+def skew_safe_join(probe: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of probe with table (written, unique by key), without a hot key in any task.
+
+    As skew_safe_lookup(), but rows of heavy keys are told apart by the keys themselves (HEAVY_PARTS
+    at most come to the driver), so that rows without a partner don't pass the broadcast join.
+    """
+    heavy, light = heavy_split(table, weight, total)
+    hot = [r[key] for r in heavy.select(key).collect()]
+    if not hot:
+        return probe.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return probe.where(is_hot).join(F.broadcast(heavy), key).unionByName(probe.where(~is_hot).join(light, key))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_arrow, skew_safe_lookup, write_table
+from .common import drop_table, map_arrow, skew_safe_join, skew_safe_lookup, write_table
 from .components import connected_components, joined_components
 from .url_filter import bloom_words, might_contain
 
@@ -356,8 +356,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = write_table(signed.join(reps, ["print", "doc_id"], "left_semi").select("doc_id", "n", "bands", "packed"), "minhash-reps")
 
     banded = classes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("cls"))
-    buckets = banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    live = write_table(skew_safe_lookup(banded, buckets, ["key"], "members", classes.count() * BANDS).where("pivot is not null"), "minhash-live")
+    buckets = write_table(banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
+    live = write_table(skew_safe_join(banded, buckets, "key", "members", classes.count() * BANDS), "minhash-live")
+    drop_table(buckets)
     stars = write_table(live.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "minhash-stars")
     first = write_table(_passing(stars, stars.count(), classes), "minhash-pairs")
 

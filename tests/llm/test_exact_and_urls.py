@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.common import skew_safe_lookup
+from quern.llm.common import skew_safe_join, skew_safe_lookup
 from quern.llm.exact_dedup import build_index, dedup_rows, digest, directory, exact_dedup, lookup, text_hash
 from quern.llm.url_filter import bloom_words, judge_urls, might_contain, rules_table
 
@@ -98,11 +98,15 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert directory(same, 4000, bucket_rows=100)[0].count() == 1
 
 
-def test_hot_key_lookup(spark):
+def test_hot_key_lookup(spark, tmp_path):
     probe = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100).alias("k"))
     sizes = probe.groupBy("k").count().select("k", F.col("count").alias("n"), (F.col("k") * 2).alias("v")).where("k <> 101")
     got = skew_safe_lookup(probe, sizes, ["k"], "n", 3000)
     assert got.where("v is null").count() == 1 and got.where("v <> k * 2").count() == 0 and got.count() == 3000
+    for total in (3000, 10**9):  # with and without heavy keys
+        sizes.write.mode("overwrite").parquet(str(tmp_path / "sizes"))
+        met = skew_safe_join(probe, spark.read.parquet(str(tmp_path / "sizes")), "k", "n", total)
+        assert met.where("v <> k * 2").count() == 0 and met.count() == 2999 and sorted(met.columns) == ["id", "k", "n", "v"]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = skew_safe_lookup(probe, sizes, ["k"], "n", 3000).where("v is not null")._jdf.queryExecution().executedPlan().toString()
