@@ -11,16 +11,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
-def result_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where no such folder is set, a local master gets one of its own, and a cluster an error."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, or the one set on the context. Where neither is, a local master gets a folder of its own and a cluster an error: its machines would not see each other's files."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir names no folder that all machines share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-results-')}")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-shared-')}")
         named = context.getCheckpointDir()
-    return f"{named.rstrip('/')}/quern/results-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def result_folder(spark: SparkSession) -> str:
+    """The path of a new folder below the shared one."""
+    return f"{shared_folder(spark)}/quern/results-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)
