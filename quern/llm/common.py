@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.results import shared_folder
+
 #: A key counts as heavy when it holds at least 1/HEAVY_PARTS of all rows, so at most HEAVY_PARTS keys can be heavy.
 HEAVY_PARTS = 1000
 #: Bytes of a batch of rows that goes to a Python worker, at most (one row may be larger).
@@ -24,18 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or the one set on the context. Where neither is, a local master gets a folder of its own and a cluster an error: its machines would not see each other's files."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-shared-')}")
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with batches of BATCH_BYTES at most, which is set for the session where its bound is larger: a batch of long texts must not take a worker's memory."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -50,7 +39,7 @@ _WRITTEN: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _WRITTEN.append(f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}")
     return _WRITTEN[-1]
 
 
