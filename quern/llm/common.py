@@ -13,6 +13,8 @@ from ..sources.results import shared_folder
 
 #: A key counts as heavy when it holds at least 1/HEAVY_PARTS of all rows, so at most HEAVY_PARTS keys can be heavy.
 HEAVY_PARTS = 1000
+#: Fewer rows than this make no key heavy, whatever their share.
+HEAVY_LEAST = 256
 #: Bytes of a batch of rows that goes to a Python worker, at most (one row may be larger).
 BATCH_BYTES = 8 << 20
 #: Rows of a file of a small table, about.
@@ -80,12 +82,12 @@ def ascii_lower(col: Column) -> Column:
 
 
 def heavy_split(table: DataFrame, weight: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of table whose weight is at least total / HEAVY_PARTS, and the rest.
+    """The rows of table whose weight is at least total / HEAVY_PARTS and HEAVY_LEAST, and the rest.
 
     weight counts the probe rows that a row of table will meet, and the weights add up to total at
     most, so the first part has HEAVY_PARTS rows at most: it may be broadcast.
     """
-    is_heavy = (F.col(weight) * HEAVY_PARTS >= F.lit(total)) & (F.col(weight) > 1)
+    is_heavy = (F.col(weight) * HEAVY_PARTS >= F.lit(total)) & (F.col(weight) >= HEAVY_LEAST)
     return table.where(is_heavy), table.where(~is_heavy)
 
 

@@ -5,34 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_table, skew_safe_lookup, write_table
+from .common import drop_table, heavy_split, skew_safe_lookup, write_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable.
 
     Each round takes the least label among a node and its neighbours, then the label of that label;
-    the labels are written to the shared folder after each round, until none changes. Hubs, and the
-    labels of large components, meet their many rows by skew-safe lookups.
+    the labels are written to the shared folder after each round, until none changes. Where there are
+    hubs, they meet their many edges by a skew-safe lookup.
     """
     both = write_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     n_edges = both.count()
     degrees = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree"))
     labels = write_table(degrees.select("node", F.least("node", "least").alias("comp"), "degree"), "cc-labels", rows=n_edges)
     n_nodes = labels.count()
+    hubs = not heavy_split(labels, "degree", n_edges)[0].isEmpty()
     while True:
-        heard = skew_safe_lookup(both, labels.select(F.col("node").alias("b"), "comp", "degree"), ["b"], "degree", n_edges)
+        of_b = labels.select(F.col("node").alias("b"), "comp", "degree")
+        heard = skew_safe_lookup(both, of_b, ["b"], "degree", n_edges) if hubs else both.join(of_b, "b")
         near = heard.groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "degree", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        step = write_table(step, "cc-step", rows=n_nodes)
-        # a label is asked for by its own nodes at most
-        asked = step.groupBy("comp").agg(F.count(F.lit(1)).alias("asked"))
-        up = asked.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("over")), "comp")
-        jumped = skew_safe_lookup(step, up, ["comp"], "asked", n_nodes).select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "degree", "old")
+        up = labels.where("node <> comp").select(F.col("node").alias("up"), F.col("comp").alias("over"))  # a root's label is its own
+        jumped = step.join(up, step["comp"] == up["up"], "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "degree", "old")
         moved = Observation()  # counted while the labels are written: one query for each round
         new = write_table(jumped.observe(moved, F.count(F.when(F.col("comp") != F.col("old"), True)).alias("n")).select("node", "comp", "degree"), "cc-labels", rows=n_nodes)
         drop_table(labels)
-        drop_table(step)
         labels = new
         if not moved.get["n"]:
             drop_table(both)
