@@ -7,9 +7,12 @@ again as the next stage's docs. All stages but the last return the columns of do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import drop_since, drop_table, read_table, write_table, written
+from quern.llm.common import drop_since, drop_table, read_table, release_memory, write_table, written
 from quern.llm.exact_dedup import dedup_rows
 from quern.llm.minhash import distinct_rows
 from quern.llm.mixing import draw_rows, plan_mix
@@ -18,27 +21,45 @@ from quern.llm.quality import fit_on, good_rows
 from quern.llm.queries import tokenizer_path
 
 
+def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after which and before which the driver gives back what native memory planning has left behind."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_memory(spark)
+        out = stage(spark, docs, sf_dir)
+        release_memory(spark)
+        return out
+
+    return run_stage
+
+
+@_lean
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It is fitted on the labelled documents of the input tables."""
     return good_rows(docs, fit_on(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
 
 
+@_lean
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, that with the largest id."""
     return dedup_rows(docs)
 
 
+@_lean
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id."""
     return distinct_rows(docs)
 
 
+@_lean
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, by shard, shuffled within it."""
     plan, _ = plan_mix(docs)
     return draw_rows(docs, plan).drop("_shard")
 
 
+@_lean
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' tokens, each with its sequence and its place there."""
     return pack(docs, tokenizer_path())

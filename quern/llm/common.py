@@ -6,6 +6,7 @@ import math
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,27 @@ def _delete(spark: SparkSession, folder: str) -> None:
     _WRITTEN[:] = [w for w in _WRITTEN if w.rpartition("/")[2] != folder.rpartition("/")[2]]
 
 
+def release_memory(spark: SparkSession) -> bool:
+    """Has the driver's JVM give native memory that it has freed back to the machine; whether it could. Planning and compiling many queries, over hundreds of threads, leaves much of it in the allocator's arenas, which keep it."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *items):
+        out = new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    # by the interface: the platform's own class is closed to reflection
+    server, strings = jvm.java.lang.Class.forName("javax.management.MBeanServer"), array(jvm.String)
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, name, "systemTrimNativeHeap", array(jvm.Object), strings))
+    except Py4JJavaError:  # a JVM without this command
+        return False
+    return True
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quern.llm.common import drop_since, read_table, written
+from quern.llm.common import drop_since, read_table, release_memory, written
 from quern.llm.mixing import targets
 from quern.llm.packing import RoomTree, Vocabulary, best_fit_decreasing, pack, piece_lengths, plain_byte_bpe
 from quern.llm.quality import fit_on
@@ -181,6 +181,16 @@ def test_stages(spark, small, tmp_path):
     check_packing(before, after, 1024)
 
 
+def test_stages_give_native_memory_back(spark, small, monkeypatch):
+    assert release_memory(spark)  # the tests' JVM has the command
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "release_memory", asked.append)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["exact"](spark, read_table(spark, small, "documents").limit(3), small)
+    assert asked == [spark, spark]
+    assert all(hasattr(stage, "__wrapped__") for stage in stages.values())
+
+
 def test_run(spark, small):
     """run() against its stages done plainly: model scores, a dictionary of texts, all pairs, targets by hand, and one piece after the other."""
     from .test_minhash import plain
