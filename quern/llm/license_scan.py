@@ -188,13 +188,11 @@ class Template:
 
     def places(self, words: list[str]) -> list[list[tuple[int, int]]]:
         """Alignments that reach the coverage, by place and apart from each other, as pairs of places in words and template."""
-        hits = [i for i, w in enumerate(words) if w in self.times]
-        out, start = [], 0
+        hits = np.array([i for i, w in enumerate(words) if w in self.times], np.int64)
         far = max(2 * len(self.words), len(self.words) + GAP) - self.least + 1  # over a longer gap no window holds enough words
-        for k in range(1, len(hits) + 1):
-            if k == len(hits) or hits[k] - hits[k - 1] > far:
-                out += self._of_stretch(words, hits[start], hits[k - 1] + 1) if k - start >= self.least else []
-                start = k
+        out, cuts = [], [0, *(np.flatnonzero(np.diff(hits) > far) + 1).tolist(), len(hits)]
+        for start, k in zip(cuts, cuts[1:], strict=False):
+            out += self._of_stretch(words, int(hits[start]), int(hits[k - 1]) + 1) if k - start >= self.least else []
         return out
 
     def _of_stretch(self, words: list[str], first: int, past: int) -> list[list[tuple[int, int]]]:
@@ -214,21 +212,18 @@ class Template:
 
     def _held(self, words: list[str], a: int, b: int, width: int) -> list[int]:
         """How many of the template's words, each counted as often as the template has it, the window from each place holds."""
-        times, counts = self.times, dict.fromkeys(self.times, 0)
-        out, held, end = [], 0, a
-        for at in range(a, b):
-            while end < min(at + width, b):
-                w = words[end]
-                if w in counts:
-                    counts[w] += 1
-                    held += counts[w] <= times[w]
-                end += 1
-            out.append(held)
-            w = words[at]
-            if w in counts:
-                held -= counts[w] <= times[w]
-                counts[w] -= 1
-        return out
+        # an occurrence counts in the windows that hold it, but not as many earlier ones as the template has
+        times, places, steps = self.times, {}, [0] * (b - a + 1)
+        for k, w in enumerate(words[a:b]):
+            if w in times:
+                n, seen = times[w], places.setdefault(w, [])
+                first = k - width + 1 if k >= width else 0
+                if len(seen) >= n and seen[-n] >= first:
+                    first = seen[-n] + 1
+                seen.append(k)
+                steps[first] += 1
+                steps[k + 1] -= 1
+        return list(accumulate(steps[:-1]))
 
     def _windows(self, words: list[str], a: int, b: int, width: int) -> Iterator[list[tuple[int, int]]]:
         score = self._held(words, a, b, width)

@@ -3,6 +3,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from importlib.resources import files
 from math import log2
 
@@ -11,7 +12,7 @@ from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from quern.llm import ogg_media as ogg
-from quern.llm.license_scan import LicenseScanner, increasing, patience_align, scan_licenses, words_of
+from quern.llm.license_scan import LicenseScanner, Template, increasing, patience_align, scan_licenses, words_of
 from quern.llm.ogg_media import media_columns, payload_from, payload_of, read_media, read_ogg, write_ogg
 from quern.llm.secret_scan import ALLOWED, PLACEHOLDERS, SEQUENCES, SecretScanner, dense_windows, scan_secrets
 
@@ -334,6 +335,17 @@ def test_inserted_paragraphs_and_long_texts():
         assert time.process_time() - began < 2
 
 
+def test_held_words_against_recount():
+    rng = random.Random(5)
+    for _ in range(200):
+        t = Template("x", [rng.choice("abcd") for _ in range(rng.randint(1, 8))], 0.8)
+        words = [rng.choice("abcdez") for _ in range(rng.randint(0, 30))]
+        a, width = rng.randint(0, len(words)), rng.randint(1, 12)
+        b = rng.randint(a, len(words))
+        want = [sum(min(n, t.times[w]) for w, n in Counter(words[i : min(i + width, b)]).items()) for i in range(a, b)]
+        assert t._held(words, a, b, width) == want
+
+
 def test_licenses_of_awkward_rows(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     rows = awkward() + [(50, notice), (50, notice), (51, "word " * 50_000 + notice), (52, None)]
